@@ -7,12 +7,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidsift.llm import group_top, time_match
+from vidsift.llm import bpe, event_runs, group_top, leakage, time_match, vector_neighbours, visual_forms
 from vidsift.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return visual_forms.lookalike_pairs(table(spark, sf, "documents"), doc_id="doc_id", text="text")
+
+
+def p1_forms(spark: SparkSession, sf: str) -> DataFrame:
+    return visual_forms.consistent_texts(table(spark, sf, "documents"), doc_id="doc_id", text="text")
+
+
+def _nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_neighbours.nearest_vectors(table(spark, sf, "clip_features"), vec_id="vec_id", vector="clip_feature")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_neighbours.neighbour_pairs(_nearest(spark, sf), "vec_id")
+
+
+def p2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return _nearest(spark, sf)
+
+
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    return event_runs.collapse_runs(table(spark, sf, "ocr"), entity="video_id", event_id="ocr_id", position="keyframe_id", time="pts_time", text="text_normalized")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _runs(spark, sf).filter("n_events >= 2").select("video_id", F.col("first_id").alias("first_ocr_id"), F.col("last_id").alias("last_ocr_id"))
+
+
+def p3_events(spark: SparkSession, sf: str) -> DataFrame:
+    return _runs(spark, sf).withColumn("duration_seconds", F.round("duration_seconds", 6))
+
+
 def _matched(spark: SparkSession, sf: str) -> DataFrame:
     frames = table(spark, sf, "keyframes")
     near = lambda records, rid, time: time_match.nearest_in_time(records, frames, entity="video_id", record_id=rid, record_time=time, ref_id="keyframe_id", ref_time="pts_time")
@@ -49,8 +81,26 @@ def p5_top_detections(spark: SparkSession, sf: str) -> DataFrame:
     return _best_detections(spark, sf)
 
 
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encode_corpus(table(spark, sf, "documents"), doc_id="doc_id", text="text")
+
+
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaked_passages(
+        table(spark, sf, "documents"), table(spark, sf, "eval_items"), doc_id="doc_id", text="text", item_id="item_id", item_text="query_text"
+    )
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p4_found, p4_mapping, p5_found, p5_top_detections)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_neighbours, p3_found, p3_events, p4_found, p4_mapping, p5_found, p5_top_detections, p6_ids, p7_found, p7_leaks)}
 
 
 _P4 = """
