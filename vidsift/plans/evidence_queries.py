@@ -100,8 +100,7 @@ def bounds_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @registry("""WITH r AS (SELECT DISTINCT video_id, pts_time, keyframe_id FROM keyframes WHERE pts_time IS NOT NULL),
-n AS (SELECT asr_id, keyframe_id, abs(pts_time - start_time) AS d FROM asr JOIN r USING (video_id, keyframe_id) WHERE false
-      UNION ALL SELECT asr_id, r.keyframe_id, abs(r.pts_time - start_time) FROM asr JOIN r USING (video_id) WHERE abs(r.pts_time - start_time) <= 5)
+n AS (SELECT asr_id, r.keyframe_id, abs(r.pts_time - start_time) AS d FROM asr JOIN r USING (video_id) WHERE abs(r.pts_time - start_time) <= 5)
 SELECT asr_id, keyframe_id AS keyframe, round(d, 6) AS distance FROM n QUALIFY row_number() OVER (PARTITION BY asr_id ORDER BY d, keyframe_id) = 1""")
 def nearest_ref(spark: SparkSession, sf: str) -> DataFrame:
     """The keyframe nearest to each segment's start within five seconds."""
@@ -111,7 +110,7 @@ def nearest_ref(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @registry("""WITH r AS (SELECT video_id, pts_time, min(keyframe_id) AS keyframe_id FROM keyframes WHERE pts_time IS NOT NULL GROUP BY ALL),
-j AS (SELECT asr_id, keyframe_id, round(abs(pts_time - (start_time + end_time) / 2), 9) AS off FROM asr JOIN r USING (video_id) WHERE pts_time BETWEEN start_time AND end_time)
+j AS (SELECT asr_id, r.keyframe_id, round(abs(r.pts_time - (start_time + end_time) / 2), 9) AS off FROM asr JOIN r USING (video_id) WHERE r.pts_time BETWEEN start_time AND end_time)
 SELECT asr_id, arg_min(keyframe_id, (off, keyframe_id)) AS keyframe, round(min(off), 6) AS off_middle, count(*) AS inside FROM j GROUP BY 1""")
 def interval_map(spark: SparkSession, sf: str) -> DataFrame:
     """The keyframe inside each speech segment that is closest to its middle."""
@@ -122,8 +121,8 @@ def interval_map(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @registry("""WITH r AS (SELECT video_id, pts_time, min(keyframe_id) AS keyframe_id FROM keyframes WHERE pts_time IS NOT NULL GROUP BY ALL),
-s AS (SELECT DISTINCT video_id, pts_time AS at FROM ocr WHERE confidence >= 0.95 AND pts_time IS NOT NULL)
-SELECT video_id, keyframe_id AS keyframe, pts_time, min(round(abs(pts_time - at), 6)) AS distance FROM r JOIN s USING (video_id) WHERE abs(pts_time - at) <= 4 GROUP BY ALL""")
+s AS (SELECT DISTINCT video_id, pts_time AS seed FROM ocr WHERE confidence >= 0.95 AND pts_time IS NOT NULL)
+SELECT video_id, keyframe_id AS keyframe, pts_time, min(round(abs(pts_time - seed), 6)) AS distance FROM r JOIN s USING (video_id) WHERE abs(pts_time - seed) <= 4 GROUP BY ALL""")
 def radius_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Keyframes within four seconds of any confidently read text."""
     refs = temporal.distinct_times(table(spark, sf, "keyframes"))
@@ -178,8 +177,8 @@ _COST = "0.25 * ({b}.t - {a}.t) / ({b}.t - {a}.t + 60)"
     _CAND
     + f""", p AS (SELECT a.video_id, a.s + b.s - {_COST.format(a='a', b='b')} AS obj, a.candidate_id || '>' || b.candidate_id AS path
   FROM c a JOIN c b ON a.video_id = b.video_id AND a.event_id = 'view' AND b.event_id = 'click' AND b.t > a.t AND b.t - a.t <= 864000),
-r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(obj, 9) DESC, path) AS rank FROM p)
-SELECT video_id, round(obj, 6) AS objective, path, rank FROM r WHERE rank <= 5"""
+z AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(obj, 9) DESC, path) AS rank FROM p)
+SELECT video_id, round(obj, 6) AS objective, path, rank FROM z WHERE rank <= 5"""
 )
 def sequence_two(spark: SparkSession, sf: str) -> DataFrame:
     """The five best paths view, then click within ten days."""
@@ -194,8 +193,8 @@ def sequence_two(spark: SparkSession, sf: str) -> DataFrame:
 p2 AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(obj, 9) DESC, path) AS r FROM p QUALIFY r <= 100),
 q AS (SELECT p2.video_id, p2.obj + b.s - {_COST.format(a='p2', b='b')} AS obj, p2.path || '>' || b.candidate_id AS path
   FROM p2 JOIN c b ON p2.video_id = b.video_id AND b.event_id = 'purchase' AND b.t > p2.t),
-r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(obj, 9) DESC, path) AS rank FROM q)
-SELECT video_id, round(obj, 6) AS objective, path, rank FROM r WHERE rank <= 20"""
+z AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(obj, 9) DESC, path) AS rank FROM q)
+SELECT video_id, round(obj, 6) AS objective, path, rank FROM z WHERE rank <= 20"""
 )
 def sequence_three(spark: SparkSession, sf: str) -> DataFrame:
     s = temporal.align(_event_candidates(spark, sf), ["view", "click", "purchase"], top=20)
@@ -207,8 +206,8 @@ def sequence_three(spark: SparkSession, sf: str) -> DataFrame:
     + f""", p AS (SELECT a.video_id, a.s + b.s - {_COST.format(a='a', b='b')} AS obj, a.candidate_id || '>' || b.candidate_id AS path, 2 AS matched
   FROM c a JOIN c b ON a.video_id = b.video_id AND a.event_id = 'signup' AND b.event_id = 'purchase' AND b.t > a.t
   UNION ALL SELECT video_id, s - 0.15, candidate_id || '>~skip', 1 FROM c WHERE event_id = 'signup'),
-r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(obj, 9) DESC, path) AS rank FROM p)
-SELECT video_id, round(obj, 6) AS objective, path, matched::INTEGER AS matched, rank FROM r WHERE rank <= 10"""
+z AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(obj, 9) DESC, path) AS rank FROM p)
+SELECT video_id, round(obj, 6) AS objective, path, matched::INTEGER AS matched, rank FROM z WHERE rank <= 10"""
 )
 def sequence_optional(spark: SparkSession, sf: str) -> DataFrame:
     """The second event may be skipped at a cost."""
@@ -288,14 +287,14 @@ def candidate_union_hard(spark: SparkSession, sf: str) -> DataFrame:
 @registry(
     _CHANNELS
     + """, f AS (SELECT *, round(coalesce(1.0 / (60 + clip_rank), 0) + coalesce(0.5 / (60 + object_rank), 0) + coalesce(0.6 / (60 + ocr_rank), 0), 9) AS fs FROM w),
-n AS (SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY fs DESC, coalesce(clip_rank, 1000000000), coalesce(object_rank, 1000000000), keyframe_id) AS k FROM f),
-v AS (SELECT query_id, video_id, min(clip_rank) AS c, min(object_rank) AS o, min(ocr_rank) AS t, max(keyframe_id) FILTER (WHERE k = 1) AS keyframe_id, count(*) AS frame_count,
-  string_agg(keyframe_id::VARCHAR, '>' ORDER BY k) FILTER (WHERE k <= 5) AS frames FROM n GROUP BY ALL),
-r AS (SELECT *, CASE WHEN c IS NOT NULL THEN row_number() OVER (PARTITION BY query_id ORDER BY c NULLS LAST, video_id) END AS cr, CASE WHEN o IS NOT NULL THEN row_number() OVER (PARTITION BY query_id ORDER BY o NULLS LAST, video_id) END AS orr,
-  CASE WHEN t IS NOT NULL THEN row_number() OVER (PARTITION BY query_id ORDER BY t NULLS LAST, video_id) END AS tr FROM v),
-s AS (SELECT *, coalesce(1.0 / (60 + cr), 0) + coalesce(0.5 / (60 + orr), 0) + coalesce(0.6 / (60 + tr), 0) AS score FROM r)
+pn AS (SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY fs DESC, coalesce(clip_rank, 1000000000), coalesce(object_rank, 1000000000), keyframe_id) AS k FROM f),
+pv AS (SELECT query_id, video_id, min(clip_rank) AS c, min(object_rank) AS o, min(ocr_rank) AS t, max(keyframe_id) FILTER (WHERE k = 1) AS keyframe_id, count(*) AS frame_count,
+  string_agg(keyframe_id::VARCHAR, '>' ORDER BY k) FILTER (WHERE k <= 5) AS frames FROM pn GROUP BY ALL),
+pr AS (SELECT *, CASE WHEN c IS NOT NULL THEN row_number() OVER (PARTITION BY query_id ORDER BY c NULLS LAST, video_id) END AS cr, CASE WHEN o IS NOT NULL THEN row_number() OVER (PARTITION BY query_id ORDER BY o NULLS LAST, video_id) END AS orr,
+  CASE WHEN t IS NOT NULL THEN row_number() OVER (PARTITION BY query_id ORDER BY t NULLS LAST, video_id) END AS tr FROM pv),
+z AS (SELECT *, coalesce(1.0 / (60 + cr), 0) + coalesce(0.5 / (60 + orr), 0) + coalesce(0.6 / (60 + tr), 0) AS score FROM pr)
 SELECT query_id, video_id, round(score, 6) AS score, keyframe_id, frame_count, frames,
-  row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, coalesce(cr, 1000000000), coalesce(orr, 1000000000), video_id) AS rank FROM s"""
+  row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, coalesce(cr, 1000000000), coalesce(orr, 1000000000), video_id) AS rank FROM z"""
 )
 def structured_ranking(spark: SparkSession, sf: str) -> DataFrame:
     v = candidates.structured_videos(_candidates(spark, sf))
@@ -466,11 +465,11 @@ def latest_delivery(spark: SparkSession, sf: str) -> DataFrame:
     return submission.latest(d, ["document_id"], ["ingested_at", "doc_id"]).select("document_id", "doc_id", "ingested_at")
 
 
-@registry("""WITH e AS (SELECT video_id, source_type, doc_id, text, row_number() OVER (PARTITION BY video_id, source_type ORDER BY keyframe_id NULLS LAST, doc_id) AS n FROM documents WHERE trim(text) <> '')
+@registry("""WITH e AS (SELECT video_id, source_type, doc_id, text, row_number() OVER (PARTITION BY video_id, source_type ORDER BY keyframe_id NULLS LAST, doc_id) AS n FROM documents WHERE regexp_matches(text, '\\S'))
 SELECT video_id, source_type, doc_id, source_type || ':' || video_id || ':' || substring(sha256(doc_id::VARCHAR), 1, 16) AS evidence_id, n FROM e WHERE n <= 8""")
 def evidence_pack(spark: SparkSession, sf: str) -> DataFrame:
     """The first eight pieces of evidence per video and modality, with stable ids."""
-    d = table(spark, sf, "documents").filter(F.trim("text") != "")
+    d = table(spark, sf, "documents").filter(F.col("text").rlike(r"\S"))
     r = ranking.rank_by(d, ["video_id", "source_type"], [F.col("keyframe_id").asc_nulls_last(), F.col("doc_id")], "n", 8)
     key = F.concat(F.col("source_type"), F.lit(":"), F.col("video_id"), F.lit(":"), F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 16))
     return r.select("video_id", "source_type", "doc_id", key.alias("evidence_id"), "n")
@@ -494,6 +493,20 @@ def interval_distances(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("asr_id", d.alias("distance"), gap_class(F.col("end_time") - F.col("start_time")).alias("span"))
 
 
-@registry("""SELECT asr.asr_id FROM asr ANTI JOIN keyframes USING (video_id)""")
-def segments_without_frames(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "asr").join(table(spark, sf, "keyframes").select("video_id").distinct(), "video_id", "left_anti").select("asr_id")
+@registry("SELECT DISTINCT video_id, keyframe_id FROM keyframes ANTI JOIN detections USING (video_id, keyframe_id)")
+def frames_without_detections(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "detections").select("video_id", "keyframe_id").distinct()
+    return table(spark, sf, "keyframes").select("video_id", "keyframe_id").distinct().join(d, ["video_id", "keyframe_id"], "left_anti")
+
+
+@registry("""WITH p AS (SELECT 'query-' || query_vec_id || '-trake' AS query_id, video_id, list(keyframe_id::BIGINT ORDER BY result_rank, keyframe_id) AS f FROM fused_results GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY video_id) AS row_no FROM p)
+SELECT query_id, row_no, code, CASE code WHEN 'FRAME_ORDER_FALLBACK' THEN 'WARNING' ELSE 'ERROR' END AS severity FROM (
+  SELECT query_id, row_no, unnest([CASE WHEN NOT regexp_matches(video_id, '^L\\d{2}_V\\d{3}$') THEN 'INVALID_VIDEO_ID' END, CASE WHEN len(f) <> 3 THEN 'INVALID_COLUMN_COUNT' END,
+    CASE WHEN len(f) > 1 AND list_bool_or(list_transform(range(1, len(f)), lambda i: f[i] >= f[i + 1])) THEN 'FRAME_ORDER_FALLBACK' END]) AS code FROM n) WHERE code IS NOT NULL""")
+def submission_validate_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """Each query's frames of a video as an ordered answer of three events."""
+    f = table(spark, sf, "fused_results").withColumn("query_id", F.concat(F.lit("query-"), F.col("query_vec_id").cast("string"), F.lit("-trake")))
+    seq = F.transform(F.array_sort(F.collect_list(F.struct("result_rank", F.col("keyframe_id").cast("long").alias("k")))), lambda x: x["k"])
+    p = ranking.rank_by(f.groupBy("query_id", "video_id").agg(seq.alias("frame_ids")), ["query_id"], [F.col("video_id")], "row_no")
+    return submission.prediction_issues(p.withColumns({"task": F.lit("TRAKE"), "answer": F.lit(None).cast("string"), "event_count": F.lit(3)}))
