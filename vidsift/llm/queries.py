@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidsift.llm import bpe, event_runs, group_top, leakage, time_match, vector_neighbours, visual_forms
+from vidsift.llm import bpe, event_runs, group_top, leakage, mojibake, time_match, vector_neighbours, visual_forms
 from vidsift.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,8 +99,16 @@ def p7_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return _leaks(spark, sf)
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return mojibake.garbled(table(spark, sf, "documents"), doc_id="doc_id", text="text")
+
+
+def p8_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return mojibake.restored(table(spark, sf, "documents"), doc_id="doc_id", text="text")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_neighbours, p3_found, p3_events, p4_found, p4_mapping, p5_found, p5_top_detections, p6_ids, p7_found, p7_leaks)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_neighbours, p3_found, p3_events, p4_found, p4_mapping, p5_found, p5_top_detections, p6_ids, p7_found, p7_leaks, p8_found, p8_restored)}
 
 
 _P4 = """
