@@ -372,9 +372,6 @@ def mapping_distance_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "ocr").groupBy(audit.bucketed(F.col("mapping_distance_seconds")).alias("bucket"), "source_status").agg(F.count(F.lit(1)).alias("rows"))
 
 
-_PCT = "list_sort(list(confidence))"
-
-
 @registry(f"""SELECT source_type, n, v[(round_even((n - 1) * 0.5, 0))::BIGINT + 1] AS p50, v[(round_even((n - 1) * 0.95, 0))::BIGINT + 1] AS p95 FROM (
   SELECT source_type, count(*) AS n, list_sort(list(length(text))) AS v FROM documents WHERE text IS NOT NULL GROUP BY 1)""")
 def percentiles_nearest_rank(spark: SparkSession, sf: str) -> DataFrame:
@@ -382,7 +379,7 @@ def percentiles_nearest_rank(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.nearest_rank(d, ["source_type"], "v", {"p50": 0.5, "p95": 0.95})
 
 
-@registry("""SELECT source_type, n, v[greatest((n * 0.95 + 0.999999)::DOUBLE // 1, 1)::BIGINT] AS p95, m AS median FROM (
+@registry("""SELECT source_type, n, v[greatest(floor(n * 0.95 + 0.999999), 1)::BIGINT] AS p95, m AS median FROM (
   SELECT source_type, count(*) AS n, list_sort(list(length(text))) AS v, median(length(text)) AS m FROM documents WHERE text IS NOT NULL GROUP BY 1)""")
 def percentiles_ceil_rank(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").withColumn("v", F.length("text").cast("long"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def event_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    """Files of a folder as a stream; times without a zone become instants in the session's zone, as watermarks need them."""
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    return raw.withColumns({f.name: F.col(f.name).cast("timestamp") for f in raw.schema.fields if f.dataType.typeName() == "timestamp_ntz"})
 
 
 def window_counts(events: DataFrame, time: str, key: str, value: str, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
