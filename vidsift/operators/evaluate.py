@@ -48,16 +48,61 @@ def graded_ndcg(rows: DataFrame, key: str, rank: str, gain: Column, depth: int =
 def nearest_rank(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float], rule: str = "half_even") -> DataFrame:
     """Percentiles that are values of the data: the sorted value at (n - 1) * share, rounded half to even or, with rule ceil, at ceil(n * share).
 
-    By row numbers, so that no group's values gather in one row; nulls don't count.
+    Equal values are counted before they meet, and only distinct values are put in order; nulls don't count.
     """
-    d = df.filter(F.col(value).isNotNull())
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
     w = Window.partitionBy(*by)
-    numbered = d.select(*by, value, F.row_number().over(w.orderBy(value)).alias("__r"), F.count(F.lit(1)).over(w).alias("__n"))
+    upto = F.sum("__c").over(w.orderBy(value))
+    d = counted.select(*by, value, upto.alias("__hi"), (upto - F.col("__c") + 1).alias("__lo"), F.sum("__c").over(w).alias("__n"))
     at = (lambda p: F.bround((F.col("__n") - 1) * F.lit(p), 0).cast("long") + 1) if rule == "half_even" else (lambda p: F.greatest((F.col("__n") * F.lit(p) + 0.999999).cast("long"), F.lit(1)))
-    return numbered.groupBy(*by).agg(F.max("__n").alias("n"), *[F.max(F.when(F.col("__r") == at(p), F.col(value))).alias(name) for name, p in shares.items()])
+    return d.groupBy(*by).agg(F.max("__n").alias("n"), *[F.max(F.when(at(p).between(F.col("__lo"), F.col("__hi")), F.col(value))).alias(name) for name, p in shares.items()])
 
 
 def diversity(hits: DataFrame, k: int) -> DataFrame:
     """Per query among the first k: distinct videos by k, repeats, the most hits of one video."""
     n = hits.filter(F.col("rank") <= k).groupBy("query_id", "video_id").agg(F.count(F.lit(1)).alias("n"))
     return n.groupBy("query_id").agg((F.count(F.lit(1)) / F.lit(float(k))).alias("unique_share"), (F.sum("n") - F.count(F.lit(1))).alias("repeats"), F.max("n").alias("most"))
+
+
+def weighted_quality(rows: DataFrame, by: Sequence[str], gain: Column) -> DataFrame:
+    """Mean gain per group and over groups, each weighted by its judged rows."""
+    g = rows.withColumn("__g", gain).groupBy(*by).agg(F.count("__g").alias("judged"), F.avg("__g").alias("quality"))
+    return g.agg(F.sum("judged").alias("judged"), (F.sum(F.col("quality") * F.col("judged")) / F.sum("judged")).alias("weighted_quality"))
+
+
+def channel_counts(hits: DataFrame) -> DataFrame:
+    """Per channel its hits and queries, with its health: READY, DEGRADED where it misses queries, UNAVAILABLE where it has none."""
+    total = hits.agg(F.count_distinct("query_id").alias("__q"))
+    n = hits.groupBy("channel").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("query_id").alias("queries"))
+    return n.crossJoin(F.broadcast(total)).select("channel", "hits", "queries", F.when(F.col("queries") == F.col("__q"), "READY").when(F.col("queries") > 0, "DEGRADED").otherwise("UNAVAILABLE").alias("health"))  # total is one row
+
+
+def latency_profile(runs: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
+    """Mean, median and 95th percentile of all runs, and of the warm ones (all but the first of each group)."""
+    w = Window.partitionBy(*by).orderBy(order)
+    d = runs.withColumn("__warm", F.row_number().over(w) > 1)
+    both = d.select(*by, value, F.lit("all").alias("runs")).unionByName(d.filter("__warm").select(*by, value, F.lit("warm").alias("runs")))
+    return nearest_rank(both, [*by, "runs"], value, {"p50": 0.5, "p95": 0.95}).join(both.groupBy(*by, "runs").agg(F.avg(value).alias("mean")), [*by, "runs"])
+
+
+def derived_qrels(judged: DataFrame, good: Column, bad: Column) -> DataFrame:
+    """Per query the videos judged good, and those judged bad that were never judged good."""
+    g = judged.groupBy("query_id", "video_id").agg(F.bool_or(F.coalesce(good, F.lit(False))).alias("good"), F.bool_or(F.coalesce(bad, F.lit(False))).alias("bad"))
+    return g.select("query_id", "video_id", F.when(F.col("good"), "positive").when(F.col("bad"), "negative").otherwise("unjudged").alias("label"))
+
+
+def tuned(scored: DataFrame, config: Sequence[str], metric: str, tie: Sequence[Column]) -> DataFrame:
+    """The configuration with the best mean metric; ties by the given order."""
+    m = scored.groupBy(*config).agg(F.avg(metric).alias(metric))
+    return m.orderBy(F.round(metric, 9).desc(), *tie).limit(1)
+
+
+def interval_hits(found: DataFrame, tolerances: Sequence[float]) -> DataFrame:
+    """Per request how far each aligned event lies from its labelled interval (0 inside), and the share within each tolerance."""
+    d = found.withColumn("__d", F.greatest(F.col("start") - F.col("t"), F.col("t") - F.col("end"), F.lit(0.0)))
+    return d.groupBy("request_id").agg(F.avg("__d").alias("mean_error"), *[F.avg((F.col("__d") <= x).cast("double")).alias(f"within_{x:g}") for x in tolerances])
+
+
+def same_results(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that only one of two runs has: none where a query is deterministic."""
+    return a.exceptAll(b).withColumn("side", F.lit("first")).unionByName(b.exceptAll(a).withColumn("side", F.lit("second")))

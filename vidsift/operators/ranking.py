@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vidsift.session import cut
+
 #: Digits to which scores are rounded before they order rows, so that the last bit can't swap two.
 ORDER_DIGITS = 9
 
@@ -16,8 +18,30 @@ def by_score(score: str | Column) -> Column:
     return F.round(F.col(score) if isinstance(score, str) else score, ORDER_DIGITS).desc_nulls_last()
 
 
+def global_rank(df: DataFrame, order: Sequence[Column | str], name: str = "rank", top: int | None = None) -> DataFrame:
+    """All rows numbered in one order. With `top`, only the first ones, taken before they meet in one task.
+
+    Else rows are sorted over range partitions and written to the checkpoint folder with their place in the partition;
+    a partition's rows begin after those of the partitions before it. No task sees more than its own range.
+    """
+    if top:
+        first = df.orderBy(*order).limit(top)
+        return first.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    placed = df.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    placed = cut(placed.withColumn("__at", F.col("__at") - F.shiftleft(F.col("__part").cast("long"), 33)))
+    counts = sorted((r["__part"], r["n"]) for r in placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())
+    before, total = [], 0
+    for part, n in counts:
+        before += [F.lit(part), F.lit(total)]
+        total += n
+    offset = F.create_map(*before)[F.col("__part")] if before else F.lit(0)
+    return placed.withColumn(name, (offset + F.col("__at") + 1).cast("long")).drop("__part", "__at")
+
+
 def rank_by(df: DataFrame, partition: Sequence[str], order: Sequence[Column | str], name: str = "rank", top: int | None = None) -> DataFrame:
     """Rows numbered within each partition; with `top`, only the first ones (pruned before the exchange by Spark)."""
+    if not partition:
+        return global_rank(df, order, name, top)
     out = df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
     out = out.filter(F.col(name) <= top) if top else out
     return out.withColumn(name, F.col(name).cast("long"))

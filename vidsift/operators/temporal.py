@@ -21,6 +21,7 @@ def asof_nearest(points: DataFrame, refs: DataFrame, most: float, span: float =
     Both sides are cut into time spans, refs also go to the neighbouring span when they lie within `most` of its
     border. So a window holds one entity's span, not its whole time line, and long entities spread over tasks.
     """
+    span = max(span, most)  # a ref reaches no farther than the neighbouring span
     cell = lambda t: F.floor(t / span).cast("long")
     p = points.filter(F.col("t").isNotNull()).withColumn("cell", cell(F.col("t"))).select("entity", "cell", "t", F.lit(0).alias("side"), "id", F.lit(None).cast("long").alias("ref"))
     r = refs.withColumn("cell", F.explode(F.array_distinct(F.array(cell(F.col("t") - most), cell(F.col("t")), cell(F.col("t") + most)))))

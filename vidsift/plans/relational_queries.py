@@ -64,9 +64,10 @@ def customers_with_orders(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_mktsegment")
 
 
-@registry("SELECT c_custkey, c_mktsegment FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
-def customers_without_orders(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
+@registry("SELECT c_custkey, c_mktsegment FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') ON c_custkey = o_custkey")
+def customers_without_urgent_orders(spark: SparkSession, sf: str) -> DataFrame:
+    urgent = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'")
+    return table(spark, sf, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
 
 
 @registry("""WITH a AS (SELECT video_id, count(*) AS segments FROM asr GROUP BY 1), o AS (SELECT video_id, count(*) AS reads FROM ocr GROUP BY 1)
