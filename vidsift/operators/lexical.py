@@ -11,6 +11,8 @@ from vidsift.functions.text import tokens
 from vidsift.operators.ranking import by_score, rank_by
 
 K1, B = 1.2, 0.75
+#: Query terms up to which they, and a row for each of them, are sent to all tasks (tens of MB).
+BROADCAST_TERMS = 500_000
 #: For terms in half of the documents or more.
 LEAST_IDF = 1e-6
 
@@ -20,6 +22,12 @@ def _tagged(column: str, tag: Column, name: str) -> Column:
     return F.transform(F.coalesce(tokens(F.col(column)), F.array().cast("array<string>")), lambda t: F.struct(tag.alias(name), t.alias("term")))
 
 
+def _sized(asked: DataFrame):
+    """Broadcast for tables no larger than the queries' terms, if these are few; otherwise Spark chooses the join."""
+    few = asked.count() <= BROADCAST_TERMS
+    return F.broadcast if few else (lambda df: df)
+
+
 def postings(docs: DataFrame, doc_id: str, fields: Mapping[str, str]) -> DataFrame:
     """doc_id, field, term, tf, dl: term counts by column; dl is the number of tokens over all columns.
 
@@ -36,21 +44,22 @@ def bm25(docs: DataFrame, queries: DataFrame, *, doc_id: str, fields: Mapping[st
 
     idf = ln((N - n + .5) / (n + .5)), LEAST_IDF where that isn't positive, n: documents with the term in that
     column; score: the sum of idf * tf * 2.2 / (tf + 1.2 * (.25 + .75 * dl / mean dl)). Ties: the smaller doc_id.
-    Only the postings of the queries' terms (a semi-join, broadcast while Spark finds it small) reach the join.
+    Only the postings of the queries' terms reach the exchange; the best k of each task are kept before the last one.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
+    small = _sized(asked)
     each = [_tagged(c, F.lit(name), "field") for name, c in fields.items()]
     d = docs.select(F.col(doc_id).alias("doc_id"), F.concat(*each).alias("t")).withColumn("dl", F.size("t").cast("long"))
     stats = d.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("mean_dl"))
-    terms = asked.select("term").distinct()
-    found = d.select("doc_id", "dl", F.explode("t").alias("x")).select("doc_id", "dl", "x.field", "x.term").join(terms, "term", "left_semi")
-    tf = found.groupBy("term", "field", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    found = d.select("doc_id", "dl", F.explode("t").alias("x")).select("doc_id", "dl", "x.field", "x.term").join(small(asked.select("term").distinct()), "term", "left_semi")
+    # one exchange, by document: counts, scores and sums of a document then stay where they are
+    tf = found.repartition("doc_id").groupBy("doc_id", "dl", "term", "field").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = df.crossJoin(F.broadcast(stats)).withColumn("idf", F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF)))  # stats is one row
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean_dl")))
-    scored = asked.join(tf.join(idf, ["term", "field"]), "term").withColumn("part", part)
-    agg = scored.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.countDistinct("term").alias("matched_terms"))
+    per_term = tf.join(small(idf), ["term", "field"]).groupBy("doc_id", "term").agg(F.sum(part).alias("part"))
+    agg = per_term.join(small(asked), "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("matched_terms"))
     return rank_by(agg, ["query_id"], [by_score("score"), F.col("doc_id")], "rank", k)
 
 
@@ -62,11 +71,14 @@ def fielded_bm25(docs: DataFrame, queries: DataFrame, *, doc_id: str, weights: M
     each = [_tagged(c, F.lit(float(w)), "w") for c, w in weights.items()]
     d = docs.select(F.col(doc_id).alias("doc_id"), F.concat(*each).alias("t")).withColumn("dl", F.aggregate("t", F.lit(0.0), lambda s, x: s + x["w"]))
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    small = _sized(asked)
+    each = [_tagged(c, F.lit(float(w)), "w") for c, w in weights.items()]
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.concat(*each).alias("t")).withColumn("dl", F.aggregate("t", F.lit(0.0), lambda s, x: s + x["w"]))
     stats = d.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("mean_dl"))
-    found = d.select("doc_id", "dl", F.explode("t").alias("x")).select("doc_id", "dl", "x.term", "x.w").join(asked.select("term").distinct(), "term", "left_semi")
-    tf = found.groupBy("term", "doc_id", "dl").agg(F.sum("w").alias("tf"))
+    found = d.select("doc_id", "dl", F.explode("t").alias("x")).select("doc_id", "dl", "x.term", "x.w").join(small(asked.select("term").distinct()), "term", "left_semi")
+    tf = found.repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.sum("w").alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = F.col("qtf") * (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean_dl"))) + exact_bonus)
-    agg = asked.join(tf.join(idf, "term"), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("matched_terms"))
+    agg = tf.join(small(idf), "term").join(small(asked), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("matched_terms"))
     return rank_by(agg, ["query_id"], [by_score("score"), F.col("doc_id")], "rank", k)
