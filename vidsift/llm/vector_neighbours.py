@@ -19,12 +19,12 @@ from vidsift.session import cut, parallelism, spread
 TREE_SAMPLE = 32_768
 CALIBRATION_SAMPLE = 384
 #: Children of a node; rows that a leaf, and vectors that a shard (one task's share of the index), should hold.
-BRANCHES = 16
+BRANCHES = 64
 LEAF_ROWS = 256
 SHARD_ROWS = 16_384
 #: Queries that a task should answer.
 TASK_QUERIES = 100_000
-TARGET_RECALL = 0.995
+TARGET_RECALL = 0.99
 DECIMALS = 6
 #: Candidates beyond k that single precision hands over to double precision.
 SPARE = 4
