@@ -151,10 +151,10 @@ def gap_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return g.groupBy("video_id").agg(F.count("gap").alias("gaps"), r(F.min("gap")).alias("least"), r(F.max("gap")).alias("most"), r(F.avg("gap")).alias("mean"), F.coalesce(F.bool_or(F.col("gap") < 0), F.lit(False)).alias("out_of_order"))
 
 
-def _event_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Users as videos, event types as events: the best eight of each user and type by value."""
+def _event_candidates(spark: SparkSession, sf: str, keep: int | None = 8) -> DataFrame:
+    """Users as videos, event types as events: the best `keep` of each user and type by value, or all of them."""
     e = table(spark, sf, "events").select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("video_id"), F.col("event_type").alias("event_id"), F.col("event_id").alias("candidate_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("value").alias("v"))
-    top = ranking.rank_by(e, ["video_id", "event_id"], [F.col("v").desc_nulls_last(), F.col("candidate_id")], "rank", 8)
+    top = ranking.rank_by(e, ["video_id", "event_id"], [F.col("v").desc_nulls_last(), F.col("candidate_id")], "rank", keep)
     return ranking.rank_score(top, ["video_id", "event_id"])
 
 
@@ -227,6 +227,35 @@ def sequence_feasible(spark: SparkSession, sf: str) -> DataFrame:
     return temporal.feasible(_event_candidates(spark, sf), ["view", "click", "purchase"], most_gap=86400.0)
 
 
+def over_all_events(sql: str) -> str:
+    """The SQL of a query over pools of eight, for its twin over every event."""
+    return sql.replace(_CAND, _CAND.replace(" QUALIFY rank <= 8", ""))
+
+
+@registry(over_all_events(registry.sql["sequence_two"]))
+def sequence_two_all(spark: SparkSession, sf: str) -> DataFrame:
+    """sequence_two over every event of a user, not its pool of eight."""
+    s = temporal.align(_event_candidates(spark, sf, None), ["view", "click"], most_gap=864000.0, top=5)
+    return s.select("video_id", F.round("objective", 6).alias("objective"), "path", "rank")
+
+
+@registry(over_all_events(registry.sql["sequence_three"]))
+def sequence_three_all(spark: SparkSession, sf: str) -> DataFrame:
+    s = temporal.align(_event_candidates(spark, sf, None), ["view", "click", "purchase"], top=20)
+    return s.select("video_id", F.round("objective", 6).alias("objective"), "path", "rank")
+
+
+@registry(over_all_events(registry.sql["sequence_optional"]))
+def sequence_optional_all(spark: SparkSession, sf: str) -> DataFrame:
+    s = temporal.align(_event_candidates(spark, sf, None), ["signup", "purchase"], optional=["purchase"], top=10)
+    return s.select("video_id", F.round("objective", 6).alias("objective"), "path", F.col("matched").cast("int").alias("matched"), "rank")
+
+
+@registry(over_all_events(registry.sql["sequence_feasible"]))
+def sequence_feasible_all(spark: SparkSession, sf: str) -> DataFrame:
+    return temporal.feasible(_event_candidates(spark, sf, None), ["view", "click", "purchase"], most_gap=86400.0)
+
+
 @registry("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t FROM events),
 n AS (SELECT *, CASE WHEN t - lag(t) OVER w > 3600 THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id) AS session FROM n)

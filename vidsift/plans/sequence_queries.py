@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vidsift.functions import text as T
 from vidsift.operators import answers, evaluate, ranking, sequences
 from vidsift.plans import planner
-from vidsift.plans.evidence_queries import _CAND, _JUDGE, _event_candidates, _judged
+from vidsift.plans.evidence_queries import _CAND, _JUDGE, _event_candidates, _judged, over_all_events
 from vidsift.registry import Registry
 from vidsift.sources.tables import table
 
@@ -47,6 +47,13 @@ def event_windows_around_anchor(spark: SparkSession, sf: str) -> DataFrame:
     return w.select("video_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), F.round("score", 6).alias("score"))
 
 
+@registry(over_all_events(registry.sql["event_windows_around_anchor"]))
+def event_windows_around_anchor_all(spark: SparkSession, sf: str) -> DataFrame:
+    """event_windows_around_anchor with every click as an anchor, over every event."""
+    w = sequences.windows(_event_candidates(spark, sf, None), EVENTS, "click")
+    return w.select("video_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), F.round("score", 6).alias("score"))
+
+
 @registry()
 def compact_event_chains(spark: SparkSession, sf: str) -> DataFrame:
     """The sixteen best monotone chains (a top-k report); states are kept per hit, tested on fixtures."""
