@@ -1,8 +1,13 @@
 """Queries and operators that must look at every row: each test fails where rows are cut before they are looked at."""
 
+import random
+
 import pandas as pd
 
 from vidsift import catalog
+from vidsift.operators import temporal
+
+CANDIDATES = "event_id string, video_id string, candidate_id long, t double, local_score double"
 
 
 def write(folder, name, rows, **columns):
@@ -21,3 +26,32 @@ def test_sequences_look_at_every_event(spark, tmp_path):
     assert "90>91" in {r.path for r in run("sequence_two_all")}
     assert "90>91>92" in {r.path for r in run("sequence_three_all")}
     assert len(run("event_windows_around_anchor_all")) == 1
+
+
+def test_candidates_beyond_the_beam_can_follow(spark):
+    """The only candidate after the first event is the last of 151 by score, then of the states: beams of 100 lose it."""
+    late = [("b", "V", i, 1.0, 0.9) for i in range(150)] + [("b", "V", 150, 20.0, 0.1)]
+    df = spark.createDataFrame([("a", "V", 900, 10.0, 0.5), *late], CANDIDATES)
+    assert [r.path for r in temporal.align(df, ["a", "b"]).collect()] == ["900>150"]
+    early = [("a", "W", i, 30.0, 0.9) for i in range(150)] + [("a", "W", 150, 10.0, 0.1), ("b", "W", 900, 20.0, 0.5)]
+    got = temporal.feasible(df.union(spark.createDataFrame(early, CANDIDATES)), ["a", "b"], most_gap=15.0).collect()
+    assert {(r.video_id, r.status) for r in got} == {("V", "FEASIBLE"), ("W", "FEASIBLE")}
+
+
+def test_feasible_equals_all_paths(spark):
+    rng = random.Random(3)
+    rows = [(e, f"V{v}", i, rng.choice([None, *range(24)]) if i % 9 == 0 else float(rng.randrange(24)), 0.5) for v in range(60) for i, e in enumerate("aabbcc") if rng.random() < 0.9]
+    rows = [(e, v, i, None if t is None else float(t), s) for e, v, i, t, s in rows]
+    df = spark.createDataFrame(rows, CANDIDATES)
+
+    def status(video, least, most):
+        times = [[t for e, v, _, t, _ in rows if v == video and e == x] for x in "abc"]
+        for x, ts in zip("abc", times):
+            if not ts:
+                return f"REQUIRED_EVENT_MISSING:{x}"
+        ok = lambda p, q: None not in (p, q) and q - p > 0 and q - p >= least and (most is None or q - p <= most)
+        return "FEASIBLE" if any(ok(p, q) and ok(q, r) for p in times[0] for q in times[1] for r in times[2]) else "NO_MONOTONIC_REQUIRED_PATH"
+
+    for least, most in ((0.0, None), (0.0, 6.0), (3.0, None), (3.0, 6.0)):
+        got = {r.video_id: r.status for r in temporal.feasible(df, list("abc"), least, most).collect()}
+        assert got == {v: status(v, least, most) for v in {r[1] for r in rows}} and len(set(got.values())) > 2

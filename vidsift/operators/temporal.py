@@ -83,13 +83,11 @@ def align(
     video_id, objective, path (candidate ids joined by `>`; `~skip` for a skipped optional event), matched, first_t,
     last_t, rank. Objective: the sum of local scores less the gap costs and skip costs. After each event the best
     `beam` states of a video stay, by objective, then path; a video without a candidate for a required event drops
-    out. A step joins the states with the next event's candidates on the video, with order and gap inside the join.
+    out. A step joins the states with all of the next event's candidates on the video, with order and gap inside the join.
     """
     state = None
     for step, event in enumerate(events):
         own = candidates.filter(F.col("event_id") == event).select("video_id", F.col("candidate_id").cast("string").alias("cid"), F.col("t").alias("ct"), "local_score")
-        # no more than `beam` candidates of a step can be needed from each video: a bounded pool, by score
-        own = rank_by(own, ["video_id"], [by_score("local_score"), F.col("ct"), F.col("cid")], "pool_rank", beam).drop("pool_rank")
         if state is None:
             started = own.select("video_id", F.col("local_score").alias("objective"), F.col("cid").alias("path"), F.lit(1).alias("matched"), F.col("ct").alias("first_t"), F.col("ct").alias("last_t"))
             state = started
@@ -116,11 +114,21 @@ def align(
 def feasible(candidates: DataFrame, events: Sequence[str], least_gap: float = 0.0, most_gap: float | None = None) -> DataFrame:
     """Per video with any candidate: FEASIBLE, REQUIRED_EVENT_MISSING:<first missing event> or NO_MONOTONIC_REQUIRED_PATH.
 
-    Order alone is decided by each event's earliest reachable time; with a largest gap by the paths of `align`.
+    Exact, with no beam: a candidate is reachable if the latest reachable candidate of the event before it, earlier by
+    more than 0 and at least `least_gap`, is earlier by `most_gap` at most. Rows are sorted once per step, never paired.
     """
     have = candidates.groupBy("video_id").agg(*[F.count_if(F.col("event_id") == e).alias(f"n{i}") for i, e in enumerate(events)])
     missing = F.coalesce(*[F.when(F.col(f"n{i}") == 0, F.lit(f"REQUIRED_EVENT_MISSING:{e}")) for i, e in enumerate(events)])
-    ok = align(candidates, events, least_gap=least_gap, most_gap=most_gap, top=1).select("video_id", F.lit(True).alias("ok"))
+    of = lambda e: candidates.filter(F.col("event_id") == e).select("video_id", F.col("t").cast("double").alias("t"))
+    reached = of(events[0])
+    for event in events[1:]:
+        # sorted by the time from which on a candidate can follow; at equal times a strict order puts followers first
+        before = reached.filter("t IS NOT NULL").select("video_id", (F.col("t") + max(least_gap, 0.0)).alias("at"), F.lit(0 if least_gap > 0 else 2).alias("side"), F.col("t").alias("from"))
+        own = of(event).filter("t IS NOT NULL").select("video_id", F.col("t").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("double").alias("from"))
+        w = Window.partitionBy("video_id").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+        latest = before.unionByName(own).withColumn("latest", F.max("from").over(w)).filter("side = 1 AND latest IS NOT NULL")
+        reached = (latest if most_gap is None else latest.filter(F.col("at") - F.col("latest") <= most_gap)).select("video_id", F.col("at").alias("t"))
+    ok = reached.select("video_id", F.lit(True).alias("ok")).distinct()
     return have.join(ok, "video_id", "left").select("video_id", F.coalesce(missing, F.when(F.col("ok"), "FEASIBLE").otherwise("NO_MONOTONIC_REQUIRED_PATH")).alias("status"))
 
 
