@@ -1,6 +1,7 @@
 """Queries and operators that must look at every row: each test fails where rows are cut before they are looked at."""
 
 import random
+import unicodedata
 
 import pandas as pd
 
@@ -55,3 +56,33 @@ def test_feasible_equals_all_paths(spark):
     for least, most in ((0.0, None), (0.0, 6.0), (3.0, None), (3.0, 6.0)):
         got = {r.video_id: r.status for r in temporal.feasible(df, list("abc"), least, most).collect()}
         assert got == {v: status(v, least, most) for v in {r[1] for r in rows}} and len(set(got.values())) > 2
+
+
+#: Composed and decomposed Vietnamese, horns and strokes, other scripts, full case folding, typographic and invisible characters.
+TEXTS = [
+    "Đường về nhà ở Cần Thơ", unicodedata.normalize("NFD", "Người ƯỚC mơ, tươi đẹp"), "Привет, Ёлка!", "ΟΔΟΣ Σίσυφος", "Ｆｕｌｌ　Ｗｉｄｔｈ １２", "Straße ẞ ﬁn", "“quoted” – it’s",
+    "zero​width­soft", "x² ½ nº 1ª", "Łódź Øre æ ð þ", "İstanbul ı", "日本語 テスト ガ", "", "   ", "́", None,
+]
+
+
+def plain(text, fold):
+    """The reference's rule, a character at a time."""
+    out, word = [], ""
+    for c in unicodedata.normalize("NFC", text).casefold():
+        for x in unicodedata.normalize("NFD", c) if fold else c:
+            if fold and unicodedata.category(x) == "Mn":
+                continue
+            x = "d" if fold and x == "đ" else x
+            if x.isalnum():
+                word += x
+            elif word:
+                out, word = [*out, word], ""
+    return " ".join([*out, word] if word else out)
+
+
+def test_every_speech_text_is_folded(spark, tmp_path):
+    rows = list(enumerate(TEXTS))
+    pd.DataFrame(rows, columns=["asr_id", "text_raw"]).to_parquet(tmp_path / "asr.parquet", index=False)
+    got = {r.asr_id: r.folded for r in catalog.queries()["folded_texts_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: plain(t, True) for i, t in rows if t is not None}
+    assert got[0] == "duong ve nha o can tho" and got[1] == "nguoi uoc mo tuoi dep"
