@@ -80,6 +80,14 @@ def plain(text, fold):
     return " ".join([*out, word] if word else out)
 
 
+def test_every_text_is_normalised(spark, tmp_path):
+    rows = list(enumerate(TEXTS))
+    pd.DataFrame(rows, columns=["doc_id", "text"]).to_parquet(tmp_path / "documents.parquet", index=False)
+    got = {r.doc_id: r.normalized for r in catalog.queries()["normalized_texts_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: plain(t, False) for i, t in rows if t is not None}
+    assert got[0] == "đường về nhà ở cần thơ" and got[2] == "привет ёлка" and got[5] == "strasse ss fin"
+
+
 def test_every_speech_text_is_folded(spark, tmp_path):
     rows = list(enumerate(TEXTS))
     pd.DataFrame(rows, columns=["asr_id", "text_raw"]).to_parquet(tmp_path / "asr.parquet", index=False)

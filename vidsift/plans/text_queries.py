@@ -100,6 +100,13 @@ def normalized_texts(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", T.normalize_exact(F.col("text")).alias("normalized"))
 
 
+@registry()
+def normalized_texts_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact normaliser over every text, also where SQL folds and composes otherwise; tested on a fixture against a plain loop."""
+    d = table(spark, sf, "documents").filter(F.col("text").isNotNull())
+    return d.select("doc_id", T.normalize_exact(F.col("text")).alias("normalized"))
+
+
 @registry("""SELECT asr_id, trim(regexp_replace(replace(strip_accents(lower(text_raw)), 'đ', 'd'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS folded FROM asr WHERE text_raw IS NOT NULL AND NOT regexp_matches(text_raw, '[^\\x00-\\x7FÀ-ỹ]|[\\p{M}²³¹¼½¾ºªßÆØÐÞæøðþŁłƠơƯư‰]')""")
 def folded_texts(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "asr").filter(F.col("text_raw").isNotNull() & ~F.col("text_raw").rlike(r"[^\x00-\x7FÀ-ỹ]|[\p{M}²³¹¼½¾ºªßÆØÐÞæøðþŁłƠơƯư‰]"))
