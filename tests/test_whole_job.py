@@ -4,8 +4,10 @@ import random
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from vidsift import catalog
+from vidsift.llm import mojibake
 from vidsift.operators import temporal
 
 CANDIDATES = "event_id string, video_id string, candidate_id long, t double, local_score double"
@@ -94,3 +96,14 @@ def test_every_speech_text_is_folded(spark, tmp_path):
     got = {r.asr_id: r.folded for r in catalog.queries()["folded_texts_all"](spark, str(tmp_path)).collect()}
     assert got == {i: plain(t, True) for i, t in rows if t is not None}
     assert got[0] == "duong ve nha o can tho" and got[1] == "nguoi uoc mo tuoi dep"
+
+
+def test_a_rare_encoding_is_learned_in_a_large_table(spark):
+    """Twenty garbled documents of 200,300, none of them in the text-hash sample of 50,000 that was learned from before."""
+    words = "nước đường phố người đàn ông mặc áo đỏ trước cổng chợ lúc trời mưa giông tại thị trấn".split()
+    rng = random.Random(1)
+    clean = [" ".join(rng.choice(words) for _ in range(25)) for _ in range(300)]
+    wrong = spark.createDataFrame([(mojibake.misread(t, ("utf-8", "mac_roman")),) for t in clean], "text string")
+    wrong = wrong.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) > (1 << 20) // 3).orderBy("text").limit(20)
+    d = wrong.unionByName(spark.createDataFrame([(t,) for t in clean], "text string")).unionByName(spark.range(200_000).select(F.concat(F.lit("plain "), F.col("id")).alias("text")))
+    assert ("utf-8", "mac_roman") in mojibake.learn(d, text="text")

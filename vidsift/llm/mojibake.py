@@ -24,8 +24,7 @@ READ = (
 TONES = "̣̀́̃̉"
 REPLACED = "�"
 
-#: Documents that transformations are learned from, at most; words of a passage; ASCII letters that its stripped form must hold.
-LEARN_DOCS = 50_000
+#: Words of a passage; ASCII letters that its stripped form must hold.
 PASSAGE_WORDS = 3
 LEAST_LETTERS = 4
 #: Distinct alignments that a transformation must explain beyond those of better supported ones.
@@ -174,14 +173,11 @@ def chosen(support: dict[int, int], least: int = LEAST_SUPPORT) -> list[Transfor
     return [ALL[i] for i in out]
 
 
-def learn(docs: DataFrame, *, text: str, learn_docs: int = LEARN_DOCS, least: int = LEAST_SUPPORT) -> list[Transformation]:
-    """Transformations found in a bounded sample: each passage is joined with the most frequent passage of the same stripped
+def learn(docs: DataFrame, *, text: str, least: int = LEAST_SUPPORT) -> list[Transformation]:
+    """Transformations found in all documents: each passage is joined with the most frequent passage of the same stripped
     form, its clean near-twin, and the stretches that differ are aligned and explained. One twin per stripped form, so
     the number of pairs never exceeds that of passages."""
-    total = docs.count()
     d = docs.select(F.col(text).alias("t")).filter(F.col("t").isNotNull())
-    if total > learn_docs:
-        d = d.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < int((1 << 20) * learn_docs / total))
     counted = cut(spread(d).mapInArrow(_passages, "key string, p string, kind int, n long").groupBy("key", "p", "kind").agg(F.sum("n").alias("n")))
     twin = counted.groupBy("key", "kind").agg(F.max(F.struct("n", "p")).alias("b")).select("key", F.col("b.p").alias("clean"))
     pairs = counted.filter("kind = 0").join(twin, "key").filter("p <> clean").select("p", "clean")
@@ -324,7 +320,7 @@ class Findings:
     rows: DataFrame
 
 
-def find(docs: DataFrame, *, doc_id: str, text: str, learn_docs: int = LEARN_DOCS, least: int = LEAST_SUPPORT) -> Findings:
+def find(docs: DataFrame, *, doc_id: str, text: str, least: int = LEAST_SUPPORT) -> Findings:
     """Learn, scan all documents once, and drop sequences that are ordinary text.
 
     A sequence is ordinary if it mostly stands alone: as the only one of its transformation in a document, or where another
@@ -332,7 +328,7 @@ def find(docs: DataFrame, *, doc_id: str, text: str, learn_docs: int = LEARN_DOC
     too few documents to tell counts if it has company there or is three characters long or more.
     """
     key = docs.schema[doc_id].dataType.simpleString()
-    learned = learn(docs, text=text, learn_docs=learn_docs, least=least)
+    learned = learn(docs, text=text, least=least)
     letters = alphabet(docs, text=text)
     reader_b = docs.sparkSession.sparkContext.broadcast((learned, letters))
     slim = spread(docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).filter(F.col("t").isNotNull()))
@@ -357,19 +353,19 @@ def _evident(f: Findings) -> DataFrame:
     return sure.unionByName(f.rows.filter("lost").select("k")).distinct()
 
 
-def garbled(docs: DataFrame, *, doc_id: str, text: str, learn_docs: int = LEARN_DOCS, least: int = LEAST_SUPPORT) -> DataFrame:
+def garbled(docs: DataFrame, *, doc_id: str, text: str, least: int = LEAST_SUPPORT) -> DataFrame:
     """doc_id of each document with characters that come from a wrong decoding, once.
 
     Null, empty and plain ASCII texts have none. A replacement character counts, though what it stood for is lost.
     Where nothing can be learned (tiny tables), only replacement characters are found. Other columns are ignored.
     """
-    return _evident(find(docs, doc_id=doc_id, text=text, learn_docs=learn_docs, least=least)).withColumnRenamed("k", doc_id)
+    return _evident(find(docs, doc_id=doc_id, text=text, least=least)).withColumnRenamed("k", doc_id)
 
 
-def restored(docs: DataFrame, *, doc_id: str, text: str, learn_docs: int = LEARN_DOCS, least: int = LEAST_SUPPORT) -> DataFrame:
+def restored(docs: DataFrame, *, doc_id: str, text: str, least: int = LEAST_SUPPORT) -> DataFrame:
     """doc_id, text_restored, is_complete for each garbled document: the text with all learned sequences replaced, in as many
     rounds as it was misread; is_complete says that neither replacement characters nor known sequences are left."""
-    f = find(docs, doc_id=doc_id, text=text, learn_docs=learn_docs, least=least)
+    f = find(docs, doc_id=doc_id, text=text, least=least)
     key = docs.schema[doc_id].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast((f.learned, f.letters, f.kept))
     bad = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).join(_evident(f), "k", "left_semi")
