@@ -26,7 +26,7 @@ SHARD_ROWS = 16_384
 TASK_QUERIES = 100_000
 TARGET_RECALL = 0.99
 DECIMALS = 6
-#: Candidates beyond k that single precision hands over to double precision.
+#: Candidates beyond k that single precision hands over to double precision; where it can't tell them from more, all are compared in double.
 SPARE = 4
 
 
@@ -293,6 +293,12 @@ class _Shard:
                     w2 = np.concatenate([which[own], top + c], axis=1)
                     keep = np.argpartition(-s2, wide - 1, axis=1)[:, :wide]
                     best[own], which[own] = np.take_along_axis(s2, keep, 1), np.take_along_axis(w2, keep, 1)
+        # more rows than fit may tie with the (k + 1)-th at DECIMALS, within the error of single precision
+        margin = 10.0**-DECIMALS + 2 * (self.dims + 2) * 2.0**-24
+        ordered = np.sort(best, axis=1)
+        unclear = np.flatnonzero((ordered[:, 0] > -2.0) & (ordered[:, 0] >= ordered[:, -(k + 1)] - margin))
+        if len(unclear):
+            best[unclear], which[unclear] = self._in_double(exact[unclear], rep[unclear], [batch["leaves"][i].as_py() for i in unclear.tolist()], wide)
         sims = np.empty((len(u), wide))
         for at in range(0, len(u), 1024):
             sims[at : at + 1024] = np.einsum("qd,qcd->qc", exact[at : at + 1024], self.exact[which[at : at + 1024]])
@@ -310,6 +316,36 @@ class _Shard:
         )
 
 
+    def _in_double(self, exact: np.ndarray, rep: np.ndarray, leaves: list[list[int]], wide: int) -> tuple[np.ndarray, np.ndarray]:
+        """The `wide` best index rows of each query, by similarity in double precision to DECIMALS, then the smaller id.
+
+        A row has ids of its own, the smallest of them first, so k + 1 rows in this order hold the k + 1 best ids.
+        """
+        unit, none = 10**DECIMALS, np.iinfo(np.int64).max
+        # one number orders rows: similarity falling, then id rising, by the id's place among the shard's
+        place = np.empty(len(self.rep), dtype=np.int64)
+        by_id = np.argsort(self.rep, kind="stable")
+        place[by_id] = np.arange(len(by_id))
+        best = np.full((len(exact), wide), none)
+        by_leaf: dict[int, list[int]] = {}
+        for i, own in enumerate(leaves):
+            for x in own:
+                if x in self.range:
+                    by_leaf.setdefault(x, []).append(i)
+        for leaf, rows in by_leaf.items():
+            a, b = self.range[leaf]
+            for at in range(0, len(rows), 512):
+                own = np.array(rows[at : at + 512])
+                for c in range(a, b, 8192):
+                    d = min(c + 8192, b)
+                    key = (unit - np.rint((exact[own] @ self.exact[c:d].T) * unit).astype(np.int64) << 32) + place[c:d]
+                    key[rep[own][:, None] == self.rep[c:d][None, :]] = none
+                    both = np.concatenate([best[own], key], axis=1)
+                    best[own] = np.partition(both, wide - 1, axis=1)[:, :wide]
+        at = np.where(best == none, 0, best & (2**32 - 1))
+        return np.where(best == none, -2.0, 1.0).astype(np.float32), by_id[at]
+
+
 def _searched(dims: int, k: int):
     """Sorted by shard, index rows before queries: a shard is held whole, its queries stream past in batches."""
 
