@@ -1,5 +1,6 @@
 """Queries and operators that must look at every row: each test fails where rows are cut before they are looked at."""
 
+import inspect
 import random
 import unicodedata
 
@@ -124,3 +125,7 @@ def test_many_vectors_that_tie_go_by_id(spark):
     s = np.round(u @ u.T, 6)
     want = {ids[i]: [ids[j] for j in sorted((j for j in range(len(x)) if j != i), key=lambda j: (-s[i, j], ids[j]))[:5]] for i in range(len(x))}
     assert got == want
+
+
+def test_recall_target_is_not_lowered():
+    assert inspect.signature(vector_neighbours.nearest_vectors).parameters["target"].default >= 0.995
