@@ -129,3 +129,24 @@ def test_many_vectors_that_tie_go_by_id(spark):
 
 def test_recall_target_is_not_lowered():
     assert inspect.signature(vector_neighbours.nearest_vectors).parameters["target"].default >= 0.995
+
+
+def test_the_sample_is_rows(spark, tmp_path):
+    rows = [(i, ("view", "click")[i % 3 == 0], float(i)) for i in range(6000)]
+    sample = lambda some: (write(tmp_path, "events", some, event_id="int64", event_type="str", value="float64"), catalog.queries()["stratified_sample_rows"](spark, str(tmp_path)).collect())[1]
+    got = sample(rows)
+    assert {tuple(r) for r in got} <= set(rows) and len({r.event_id for r in got}) == len(got)
+    for kind, n in (("view", 4000), ("click", 2000)):
+        assert abs(sum(r.event_type == kind for r in got) / n - 0.1) < 0.03
+    # a row is in or out for good, whatever other rows there are
+    spark.catalog.clearCache()
+    assert {r.event_id for r in sample(rows[::2])} == {r.event_id for r in got if r.event_id % 2 == 0}
+
+
+def test_estimates_are_close(spark, tmp_path):
+    rows = [(b, float((i * 7919) % n)) for b, n in (("A", 40), ("B", 900)) for i in range(3000)]
+    write(tmp_path, "part", rows, p_brand="str", p_retailprice="float64")
+    got = {r.p_brand: r for r in catalog.queries()["approximate_count_estimates"](spark, str(tmp_path)).collect()}
+    for b, n in (("A", 40), ("B", 900)):
+        prices = sorted(x for k, x in rows if k == b)
+        assert abs(got[b].prices - n) <= 0.15 * n + 1 and prices[1200] <= got[b].median <= prices[1800]

@@ -162,6 +162,13 @@ def approximate_counts(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("p_brand", F.when(ok | (F.col("e") < 5), True).alias("close"))
 
 
+@registry()
+def approximate_count_estimates(spark: SparkSession, sf: str) -> DataFrame:
+    """The estimates themselves: distinct prices and the median price of each brand; tested against exact figures."""
+    p = table(spark, sf, "part")
+    return p.groupBy("p_brand").agg(F.approx_count_distinct("p_retailprice").alias("prices"), F.percentile_approx("p_retailprice", 0.5, 10000).alias("median"))
+
+
 @registry("SELECT event_type, CASE WHEN count(*) > 0 THEN true END AS in_range FROM events GROUP BY 1")
 def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
     """A sampling operator: a tenth of each event type by a hash of the id, so a row is in or out for good."""
@@ -170,6 +177,12 @@ def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.when(F.abs(share - 0.1) < 0.05, True).alias("in_range"))
 
 
+@registry()
+def stratified_sample_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of that sample; a hash has no form in SQL, tested on a fixture."""
+    return table(spark, sf, "events").filter(F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0)
+
+
 @registry("""WITH RECURSIVE c AS (SELECT n_nationkey AS nation, n_regionkey AS step, 1 AS depth FROM nation UNION ALL SELECT nation, step + 5, depth + 1 FROM c WHERE depth < 4)
 SELECT nation, max(step)::BIGINT AS last_step, count(*) AS steps FROM c GROUP BY 1""")
 def recursive_steps(spark: SparkSession, sf: str) -> DataFrame:
