@@ -1,4 +1,4 @@
-"""Top N rows of every group, with histogram thresholds for large groups and a total tie order."""
+"""Top N rows of every group, with a histogram threshold for each and a total tie order."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vidsift.session import cut
+
 HISTOGRAM_BINS = 16
 #: A group is large beyond LARGE_LEAST rows or a LARGE_SHARE-th of all rows; so at most LARGE_SHARE groups are large.
 LARGE_LEAST = 4_096
@@ -39,18 +41,20 @@ def top_n_per_group(
     fewer than n rows gives all it has; an empty table gives none. Columns that aren't named are ignored.
     row_id must be unique; rows with a null row_id sort first among equals, as Spark orders nulls.
 
-    Large groups: one aggregation counts each group and fills a score histogram. A bin holds 64 hash buckets
-    of the rows that count as one (a bit each, so `bit_or` merges them); their number never exceeds that of
-    distinct rows, so the highest bin at and above which they reach n is a safe lower threshold. The thresholds
-    of the large groups (LARGE_SHARE rows at most, by how large is defined) go to all tasks, rows below them are
-    dropped before any shuffle, and what is left of a large group (ties may leave much) is ranked in salted parts
-    first. All other rows need one shuffle, by group, for both removal of repeats and ranking.
+    One aggregation counts each group and fills a score histogram for it. A bin holds 64 hash buckets of the rows
+    that count as one (a bit each, so `bit_or` merges them); their number never exceeds that of distinct rows, so the
+    highest bin at and above which they reach n is a safe lower threshold. Every group has its threshold, rows below it
+    are dropped, and what is left is ranked exactly. The thresholds of large groups (LARGE_SHARE rows at most, by how
+    large is defined) go to all tasks, so that their rows are dropped before any shuffle, and what is left of a large
+    group (ties may leave much) is ranked in salted parts first. All other groups may be as many as rows: their rows
+    meet the thresholds by group, and the same exchange serves the removal of repeats and the ranking.
     """
     spark = df.sparkSession
-    g = [f"__g{i}" for i in range(len(group))]
     s = [f"__s{i}" for i in range(len(same))]
+    # one struct is the key: its fields may be null and yet equal, in joins as in windows
+    g = "__g"
     d = df.select(
-        *[F.col(c).alias(a) for c, a in zip(group, g)],
+        F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)]).alias(g),
         *[F.col(c).alias(a) for c, a in zip(same, s)],
         F.col(label).alias("__label"),
         F.col(score).cast("double").alias("__score"),
@@ -63,16 +67,16 @@ def top_n_per_group(
     one = F.xxhash64(*[F.col(c) for c in ("__label", "__score", *s)], F.when(F.col("__label").isNull(), F.col("__id")))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(one, F.lit(64)).cast("int"))
     bins = [F.bit_or(F.when(_bin(F.col("__score"), low, high) == b, bit)).alias(f"__b{b}") for b in range(HISTOGRAM_BINS)]
-    counted = d.groupBy(*g).agg(F.count(F.lit(1)).alias("__rows"), *bins)
-    total = df.count()
-    least = max(large_least, total // LARGE_SHARE + 1)
-    large = counted.filter(F.col("__rows") >= least)
-    reach, threshold = F.lit(0), F.lit(None).cast("double")
+    counted = d.groupBy(g).agg(F.count(F.lit(1)).alias("__rows"), *bins)
+    reach, threshold = F.lit(0), F.lit(None).cast("int")
     for b in range(HISTOGRAM_BINS - 1, -1, -1):
         reach = reach + F.coalesce(F.bit_count(f"__b{b}"), F.lit(0))
         threshold = F.coalesce(threshold, F.when(reach >= n, F.lit(b)))
+    thresholds = cut(counted.select(g, "__rows", F.coalesce(threshold, F.lit(0)).alias("__from")))
+    total = thresholds.agg(F.sum("__rows")).first()[0] or 0
+    least = max(large_least, total // LARGE_SHARE + 1)
     parts = (F.col("__rows") / least).cast("int") + 1
-    found = large.select(*g, F.coalesce(threshold, F.lit(0)).cast("int").alias("__from"), parts.alias("__parts")).collect()
+    found = thresholds.filter(F.col("__rows") >= least).select(g, "__from", parts.alias("__parts")).collect()
 
     def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
         # One exchange by keys serves both steps: the window over what counts as one row lies within a group.
@@ -93,24 +97,21 @@ def top_n_per_group(
         first = F.row_number().over(w) == 1
         return rows.withColumn("__again", again & ~first).filter(~F.col("__again")).drop("__again")
 
-    if not found:
-        out = ranked(distinct_in_order(d, g), g)
-    else:
-        schema = ", ".join([f"{c} {d.schema[c].dataType.simpleString()}" for c in g] + ["__from int", "__parts int"])
+    above = _bin(F.col("__score"), low, high) >= F.col("__from")
+    rest, hot = d, None
+    if found:
+        schema = f"{g} {d.schema[g].dataType.simpleString()}, __from int, __parts int"
         marks = F.broadcast(spark.createDataFrame([tuple(r) for r in found], schema))
-        on = [d[c].eqNullSafe(marks[c]) for c in g]
-        cond = on[0]
-        for c in on[1:]:
-            cond = cond & c
-        rest = d.join(marks, cond, "left_anti")
-        hot = d.join(marks, cond).select(d["*"], marks["__from"], marks["__parts"])
-        hot = hot.filter(_bin(F.col("__score"), low, high) >= F.col("__from"))
+        rest = d.join(marks, g, "left_anti")
         # repeats share their part, whatever their row_id; rows that never agree are dealt by row_id
-        hot = hot.withColumn("__part", F.pmod(one, F.col("__parts"))).drop("__from", "__parts")
-        first = ranked(distinct(hot, [*g, "__part"]), [*g, "__part"]).drop("__rank", "__part")
-        out = ranked(distinct_in_order(rest, g), g).select(*g, "__id", "__label", "__score", "__rank").unionByName(ranked(first.select(*g, "__id", "__label", "__score"), g))
+        hot = d.join(marks, g).filter(above).withColumn("__part", F.pmod(one, F.col("__parts"))).drop("__from", "__parts")
+    small = thresholds.filter(F.col("__rows") < least).select(g, "__from")
+    out = ranked(distinct_in_order(rest.join(small.hint("shuffle_hash"), g).filter(above).drop("__from"), [g]), [g]).select(g, "__id", "__label", "__score", "__rank")
+    if hot is not None:
+        first = ranked(distinct(hot, [g, "__part"]), [g, "__part"])
+        out = out.unionByName(ranked(first.select(g, "__id", "__label", "__score"), [g]))
     return out.select(
-        *[F.col(a).alias(c) for c, a in zip(group, g)],
+        *[F.col(f"{g}.g{i}").alias(c) for i, c in enumerate(group)],
         F.col("__id").alias(row_id),
         F.col("__label").alias(label),
         F.col("__score").alias(score),
