@@ -33,7 +33,7 @@ LEAST_SUPPORT = 3
 #: Share of the weight of an inferred mapping on which a public encoding must agree to complete it.
 AGREEMENT = 0.9
 #: Assignments that a mapping needs: to be completed by a public encoding; to stand without one; to be letters read as other letters.
-LEAST_ASSIGNMENTS, OWN_ASSIGNMENTS, LETTER_ASSIGNMENTS = 4, 8, 6
+LEAST_ASSIGNMENTS, OWN_ASSIGNMENTS, LETTER_ASSIGNMENTS = 4, 16, 6
 #: Assignments in which a mapping must differ from each better supported one; fewer come from wrong twins of known damage.
 DIFFERENT = 3
 #: A sequence that is the only evidence in this share of its documents, or more, is taken for ordinary text.
@@ -100,8 +100,9 @@ def _stretches(s: str) -> list[str]:
 
 def assignments(form: str, clean: str) -> tuple[int, list[Node]] | None:
     """What the characters of a word stand for, if its clean twin explains them: the stretches between the same ASCII characters
-    face each other. Kind 0: each character of the form is a byte of the clean UTF-8 text (byte, character); kind 1: each
-    stands for one clean letter (letter, character), two different ones at least. Null if neither holds throughout.
+    face each other. Kind 0: each character of the form is a byte of the clean UTF-8 text (byte, character), and no clean
+    letter is left; kind 1: each stands for one clean letter (letter, character), two different ones at least. Null if
+    neither holds throughout.
     """
     pairs = [(x, y) for x, y in zip(_stretches(form), _stretches(clean)) if x != y]
     if not pairs or stripped(form) != stripped(clean):
@@ -110,7 +111,7 @@ def assignments(form: str, clean: str) -> tuple[int, list[Node]] | None:
         own: dict[int, int] = {}
         for x, y in pairs:
             source = y.encode() if kind == 0 else list(map(ord, y))
-            if len(source) != len(x) or any(own.setdefault(s, ord(c)) != ord(c) for s, c in zip(source, x) if kind == 0 or s != ord(c)):
+            if len(source) != len(x) or (kind == 0 and set(x) & set(y)) or any(own.setdefault(s, ord(c)) != ord(c) for s, c in zip(source, x) if kind == 0 or s != ord(c)):
                 break
         else:
             if kind == 0 or len(own) > 1:
@@ -219,7 +220,8 @@ def tables(links: dict[tuple[Node, Node], int], least: int = LEAST_SUPPORT) -> l
 
     A mapping begins with the strongest link that none before it explains and takes in, one after another, the assignment
     that the most members are linked with. Where members have rivals (other characters for the same source), an assignment
-    that is mostly linked with the rivals alone belongs to another mapping; one linked with both may belong to both. A
+    that is mostly linked with the rivals alone belongs to another mapping; one linked with both may belong to both. No
+    two sources share a character. A
     mapping that hardly differs from one before it is dropped.
     """
     near: dict[Node, dict[Node, int]] = defaultdict(dict)
@@ -234,7 +236,7 @@ def tables(links: dict[tuple[Node, Node], int], least: int = LEAST_SUPPORT) -> l
         while True:
             best, mark = None, (0, 0, (0, 0))
             for node in {m for s, c in table.items() for m in near[s, c]}:
-                if node[0] in table:
+                if node[0] in table or node[1] in table.values():
                     continue
                 own = {s: n for (s, c), n in near[node].items() if table.get(s) == c}
                 rivals = {s for (s, c), n in near[node].items() if s in table and table[s] != c and n >= least}
@@ -267,7 +269,8 @@ def _agreement(table: dict[int, tuple[int, int]], of) -> float:
 
 def byte_mappings(found: list[dict[int, tuple[int, int]]]) -> list[Mapping]:
     """A table of bytes completed by the public encodings that agree with it best (all, where it can't tell them apart); as
-    inferred where none agrees."""
+    inferred where none agrees, unless a tenth of it are marks and invisible characters: such come from composition and
+    dirt between letters."""
     out: dict[str, Mapping] = {}
     for i, table in enumerate(found):
         share = {name: _agreement(table, chars.__getitem__) for name, chars in encodings().items()}
@@ -275,7 +278,7 @@ def byte_mappings(found: list[dict[int, tuple[int, int]]]) -> list[Mapping]:
         if most >= AGREEMENT and len(table) >= LEAST_ASSIGNMENTS:
             for name in (n for n, x in share.items() if x == most):
                 out.setdefault(name, Mapping(name, tuple((b, c) for b, c in enumerate(encodings()[name]) if b >= 0x80 and c >= "\x80")))
-        elif len(table) >= OWN_ASSIGNMENTS:
+        elif len(table) >= OWN_ASSIGNMENTS and 10 * sum(unicodedata.category(chr(c)) in ("Mn", "Cf") for c, _ in table.values()) < len(table):
             out[f"inferred {i}"] = Mapping(f"inferred {i}", tuple((b, chr(c)) for b, (c, _) in sorted(table.items())))
     return list(out.values())
 
