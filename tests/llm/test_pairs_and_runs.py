@@ -54,6 +54,37 @@ def test_a_look_that_holds_many_rows(spark):
     assert visual_forms.lookalike_pairs(d, doc_id="doc_id", text="text").count() == 999
 
 
+def test_width_style_ligatures_and_scripts(spark):
+    same = [("ｶﾞ", "ガ"), ("￠￦", "¢₩"), ("ǆ ǅ ǈ ǋ", "dž Dž Lj Nj"), ("𝐀𝟏 𝓫", "A1 b"), ("αbc", "abc"), ("Ꭺ", "A"), ("﹐", ","), ("ﻻ", "لا"), ("αλφα", "aλφa"), ("ofﬁce Ⅷ", "office VIII")]
+    r = forms(spark, [x for pair in same for x in pair])
+    assert all(r[2 * i].text == r[2 * i + 1].text for i in range(len(same)))
+    assert r[16].text == "αλφα"
+    apart = ["x²", "x2", "½", "1/2", "①", "1", "…", "...", "как", "kak", "ſ", "s"]
+    assert len({x.text for x in forms(spark, apart).values()}) == len(apart)
+
+
+def plain_pairs(rows):
+    docs = {}
+    for i, look, t in rows:
+        docs.setdefault(look, set()).add((i, t))
+    return {(min(i, j), max(i, j)) for own in docs.values() for i, s in own for j, t in own if i != j and s != t}
+
+
+def test_pairs_and_classes_of_split_looks(spark):
+    """A look that holds a third of the rows, one of many spellings, and rows that are delivered again."""
+    hidden = ["​", "‌", "‍", "⁠"]
+    rows = [(i, "hot", "giá vàng") for i in range(60)] + [(100 + i, "hot", "giá v" + hidden[i % 4] + "àng") for i in range(6)]
+    rows += [(200 + i, "many", "mưa" + "".join(hidden[i >> k & 1] for k in range(5))) for i in range(20)] + [(300 + i, f"own{i}", f"x {i}") for i in range(90)] + [(0, "hot", "giá vàng")]
+    d = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string").withColumns({"part": F.lit(1), "k": F.lit(2), "n": F.lit(3)})
+    want = plain_pairs(rows)
+    for block in (3, 1000):
+        got = [tuple(r) for r in visual_forms.lookalike_pairs(d, doc_id="doc_id", text="text", block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        links = {r.doc_id: r.links for r in visual_forms.lookalike_classes(d, doc_id="doc_id", text="text", block=block).collect()}
+        assert links == {i: sum(i in p for p in want) for i in {x for p in want for x in p}}
+    assert visual_forms.lookalike_classes(d.limit(0), doc_id="doc_id", text="text").count() == 0
+
+
 def plain_edits(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

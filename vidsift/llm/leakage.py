@@ -73,7 +73,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, *, doc_id: str, text: str
     chars = tests.agg(F.sum(F.length("q"))).first()[0] or 0
     passes = chars // pass_chars + 1
     slim = spread(docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).filter(F.col("t").isNotNull()))
-    ddl, folded = f"k {key}, item long, windows long", folded_sql(form_sql("t", russian=False))
+    ddl, folded = f"k {key}, item long, windows long", folded_sql(form_sql("t", other_scripts=False))
 
     def scan(mine):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,6 +21,10 @@ def p1_forms(spark: SparkSession, sf: str) -> DataFrame:
     return visual_forms.consistent_texts(table(spark, sf, "documents"), doc_id="doc_id", text="text")
 
 
+def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return visual_forms.lookalike_classes(table(spark, sf, "documents"), doc_id="doc_id", text="text")
+
+
 def _nearest(spark: SparkSession, sf: str) -> DataFrame:
     return vector_neighbours.nearest_vectors(table(spark, sf, "clip_features"), vec_id="vec_id", vector="clip_feature")
 
@@ -108,7 +112,7 @@ def p8_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_neighbours, p3_found, p3_events, p4_found, p4_mapping, p5_found, p5_top_detections, p6_ids, p7_found, p7_leaks, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p1_classes, p2_found, p2_neighbours, p3_found, p3_events, p4_found, p4_mapping, p5_found, p5_top_detections, p6_ids, p7_found, p7_leaks, p8_found, p8_restored)}
 
 
 _P4 = """
