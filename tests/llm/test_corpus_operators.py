@@ -4,6 +4,7 @@ import base64
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -94,17 +95,21 @@ def test_corpus_encoding(spark):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.text("ab ", max_size=30), max_size=4), st.text("ab ", max_size=80))
-def test_matcher_equals_scan(items, text):
-    m, words = 3, text.split()
-    want = {}
-    for i, t in enumerate(items):
-        w = t.split()
-        own = {tuple(w[j : j + m]) for j in range(len(w) - m + 1)}
-        n = sum(tuple(words[j : j + m]) in own for j in range(len(words) - m + 1))
-        if n:
-            want[i] = n
-    assert leakage.Matcher(list(enumerate(items)), m).search(text) == want
+@given(st.lists(st.text("ab ", max_size=30), max_size=4), st.lists(st.text("ab ", max_size=80), max_size=3))
+def test_matcher_equals_scan(items, texts):
+    m = 3
+    items, texts = [" ".join(t.split()) for t in items], [" ".join(t.split()) for t in texts]
+    passages, shift = leakage.patterns(list(range(len(items))), pa.array(items, pa.string()), m)
+    runs = lambda t: [" ".join(w[j : j + m]) for w in [t.split()] for j in range(len(w) - m + 1)]
+    assert sorted((i, p) for i, _, p in passages) == sorted((i, p) for i, t in enumerate(items) for p in runs(t))
+    h = np.array([x for _, x, _ in passages], np.int64).view(np.uint64) >> np.uint64(64 - leakage.BUCKET_BITS)
+    bits = {}
+    for b in h.tolist():
+        bits[b >> 6] = bits.get(b >> 6, 0) | 1 << (b & 63)
+    table = lambda d, kind: (np.array(list(d), np.int64), np.array(list(d.values()), kind))
+    matcher = leakage.Matcher(*leakage.Matcher.tables(table(shift, np.uint8), table(bits, np.uint64), m), m)
+    known = {p for _, _, p in passages}
+    assert [(t, p) for t, _, p in matcher.search(pa.array(texts, pa.string())) if p in known] == [(i, p) for i, t in enumerate(texts) for p in runs(t) if p in known]
 
 
 def test_leaks(spark):
@@ -116,11 +121,11 @@ def test_leaks(spark):
         [(1, f"x {part.upper()} y"), (2, part.replace(" ", " - ")), (3, "nguoi dan ong mac ao do dung truoc cong cho"), (4, nine), (5, None), (6, ""), (7, "a " * 100_000 + "người đ​àn ông, mặc áo đỏ đứng trước cổng chợ"), (8, part.replace(" ", ""))],
         "doc_id long, text string",
     ).withColumns({"item": F.lit(1), "t": F.lit(2), "windows": F.lit(3)})
-    run = lambda d, i, **m: sorted((r.doc_id, r.item_id) for r in leakage.leaked_passages(d, i, doc_id="doc_id", text="text", item_id="item_id", item_text="query_text", **m).collect())
+    run = lambda d, i: sorted((r.doc_id, r.item_id) for r in leakage.leaked_passages(d, i, doc_id="doc_id", text="text", item_id="item_id", item_text="query_text").collect())
     want = sorted((d, i) for d in (1, 2, 3, 7) for i in (1, 4))
     assert run(docs, items) == want
-    assert run(docs, items, pass_chars=40) == want  # several passes over the corpus
     assert run(docs.limit(0), items) == [] and run(docs, items.limit(0)) == []
+    assert run(docs.unionByName(docs), items) == want  # rows of one doc_id are one document
 
 
 def corpus(seed=4, n=400):
