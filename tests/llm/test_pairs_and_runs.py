@@ -117,9 +117,11 @@ def plain_cost(costs, penalty):
 @given(st.lists(st.integers(0, 30), min_size=1, max_size=8), st.integers(1, 20))
 def test_segmentation_is_optimal(costs, penalty):
     s = event_runs.Segmenter(penalty)
-    for c in costs:
-        s.add(c)
-    runs = s.runs()
+    runs = []
+    for i, c in enumerate(costs):
+        s.add(c, i)
+        runs += s.settled()
+    runs = [(a, b) for a, b, n in runs + s.rest() if n == b - a + 1]
     assert s.best == plain_cost(costs, penalty)
     assert runs[0][0] == 0 and runs[-1][1] == len(costs) - 1 and all(b + 1 == c for (_, b), (c, _) in zip(runs, runs[1:]))
     # the longer run where it costs the same

@@ -13,6 +13,8 @@ from vidsift.session import cut, parallelism
 
 #: Costs are whole numbers, so that sums are exact: a dissimilarity of 1.0 is UNIT.
 UNIT = 10**9
+#: Events that a task should segment.
+PART_ROWS = 250_000
 
 _RUNS = pa.schema(
     [
@@ -98,78 +100,92 @@ class Segmenter:
     """Cheapest segmentation of one ordered sequence: the costs within runs plus a penalty for each run.
 
     A run costs the sum of the dissimilarities of its neighbouring events. F(t) is the least cost of the first t
-    events; a candidate is a start of the run that holds event t, with its cost. A candidate that costs more than
-    closing at t and starting anew can never win and is pruned, so only few are ever kept. Equal costs: the longer run.
+    events; a candidate is a start of the run that holds event t, with its cost, its first event and the runs before
+    it. A candidate that costs more than closing at t and starting anew can never win and is pruned, so only few are
+    ever kept. Equal costs: the longer run. Once a single candidate is left, the runs before it are settled.
     """
 
     def __init__(self, penalty: int) -> None:
-        self.penalty, self.best = penalty, 0
-        self.starts: list[int] = []
-        self.costs: list[int] = []
-        self.back: list[int] = []
+        self.penalty, self.best, self.count = penalty, 0, 0
+        #: cost, number of the first event, first event, runs before as a chain (chain, first event, last event, events).
+        self.open: list[tuple] = []
+        self.last = None
 
-    def add(self, cost: int) -> None:
+    def _closed(self) -> tuple:
+        """The runs of the cheapest segmentation of all events so far."""
+        _, at, first, before = min(self.open, key=lambda c: c[0])
+        return before, first, self.last, self.count - at
+
+    def add(self, cost: int, event: object) -> None:
         """The next event, whose dissimilarity to the one before is cost (any value for the first)."""
-        t = len(self.back)
-        costs = [c + cost for c in self.costs]
-        starts = [*self.starts, t]
-        costs.append(self.best + self.penalty)
-        self.best = min(costs)
-        self.back.append(starts[costs.index(self.best)])
-        limit = self.best + self.penalty
-        self.starts = [s for s, c in zip(starts, costs) if c <= limit]
-        self.costs = [c for c in costs if c <= limit]
-
-    def runs(self) -> list[tuple[int, int]]:
-        """First and last position of each run, in order."""
-        out, t = [], len(self.back) - 1
-        while t >= 0:
-            out.append((self.back[t], t))
-            t = self.back[t] - 1
+        before = self._closed() if self.open else None
+        grown = [(c + cost, at, first, b) for c, at, first, b in self.open]
+        grown.append((self.best + self.penalty, self.count, event, before))
+        self.best = min(c[0] for c in grown)
+        self.open = [c for c in grown if c[0] <= self.best + self.penalty]
+        self.last, self.count = event, self.count + 1
+
+    @staticmethod
+    def _listed(chain: tuple | None) -> list[tuple]:
+        out = []
+        while chain is not None:
+            out.append(chain[1:])
+            chain = chain[0]
         return out[::-1]
 
+    def settled(self) -> list[tuple]:
+        """First event, last event and number of events of the runs that nothing can change any more, each once, in order."""
+        if len(self.open) != 1 or self.open[0][3] is None:
+            return []
+        cost, at, first, before = self.open[0]
+        self.open = [(cost, at, first, None)]
+        return self._listed(before)
+
+    def rest(self) -> list[tuple]:
+        """The runs after the settled ones, when no event follows."""
+        return self._listed(self._closed())
+
 
 def _segments(per_mille: int):
     """One range partition, in order, to its runs; the runs at its ends keep their texts, to be joined with the next part's."""
     penalty = per_mille * UNIT // 1000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {"seg": None, "entity": None, "events": [], "part": 0, "seq": 0, "first": True, "last_key": None}
+        seg, entity, part, seq, opening, first_key, last_key = None, None, 0, 0, True, None, None
         out: list[dict] = []
 
-        def close(last: bool) -> None:
-            ev, seg = state["events"], state["seg"]
-            if seg is None:
-                return
-            pieces = seg.runs()
-            for i, (a, b) in enumerate(pieces):
-                open_left, open_right = state["first"] and i == 0, last and i == len(pieces) - 1
+        def emit(runs: list[tuple], ending: bool) -> None:
+            nonlocal seq, opening
+            for i, ((first_id, t_first), (last_id, t_last), n) in enumerate(runs):
+                right = ending and i == len(runs) - 1
                 out.append(
                     {
-                        "part": state["part"], "seq": state["seq"], "entity": state["entity"], "first_id": ev[a][0], "last_id": ev[b][0],
-                        "n": b - a + 1, "t_first": ev[a][1], "t_last": ev[b][1], "open_left": open_left, "open_right": open_right,
-                        "first_key": state["first_key"] if open_left else None, "last_key": state["last_key"] if open_right else None,
+                        "part": part, "seq": seq, "entity": entity, "first_id": first_id, "last_id": last_id, "n": n, "t_first": t_first, "t_last": t_last,
+                        "open_left": opening, "open_right": right, "first_key": first_key if opening else None, "last_key": last_key if right else None,
                     }
                 )
-                state["seq"] += 1
-            state["first"] = False
+                seq, opening = seq + 1, False
 
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(5)]
-            for part, entity, rid, t, text in zip(*cols):
+            for part_now, own, rid, t, text in zip(*cols):
                 key = text_key(text)
-                if state["seg"] is None or entity != state["entity"]:
-                    close(False)
-                    state |= {"seg": Segmenter(penalty), "entity": entity, "events": [], "part": part, "first_key": key}
-                    state["seg"].add(0)
+                if seg is None or own != entity:
+                    if seg is not None:
+                        emit(seg.rest(), False)
+                    else:
+                        first_key = key
+                    part, entity, seg = part_now, own, Segmenter(penalty)
+                    seg.add(0, (rid, t))
                 else:
-                    state["seg"].add(dissimilarity(state["last_key"], key, per_mille))
-                state["events"].append((rid, t))
-                state["last_key"] = key
+                    seg.add(dissimilarity(last_key, key, per_mille), (rid, t))
+                    emit(seg.settled(), False)
+                last_key = key
             if len(out) >= 10_000:
                 yield pa.RecordBatch.from_pylist(out, schema=_RUNS)
                 out.clear()
-        close(True)
+        if seg is not None:
+            emit(seg.rest(), True)
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=_RUNS)
 
@@ -222,8 +238,9 @@ def collapse_runs(
 
     Events are range-partitioned by entity, time and position, so that a long entity lies in several tasks; each
     task segments its part, and the (at most two) runs at the ends of each part are joined afterwards, by the same cost.
+    The number of parts follows the number of rows; a task holds only runs that later events can still change.
     """
-    spark = events.sparkSession
+    parts = parts or max(parallelism(events.sparkSession), events.count() // PART_ROWS + 1)
     e = events.select(
         F.col(entity).alias("entity"),
         F.col(event_id).cast("long").alias("rid"),
@@ -233,7 +250,7 @@ def collapse_runs(
     ).filter(F.col("pos").isNotNull() & F.col("rid").isNotNull() & F.col("text").rlike(r"(?U)\S"))
     once = e.groupBy("entity", "pos").agg(F.min_by(F.struct("t", "text"), "rid").alias("v"), F.min("rid").alias("rid")).select("entity", "pos", "rid", "v.t", "v.text")
     order = [F.col("entity").asc_nulls_first(), F.col("t").asc_nulls_last(), F.col("pos").asc()]
-    placed = once.repartitionByRange(parts or parallelism(spark), *order).sortWithinPartitions(*order)
+    placed = once.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     runs = cut(
         placed.select(F.spark_partition_id().cast("long").alias("part"), "entity", "rid", "t", "text").mapInArrow(_segments(per_mille), _RUNS_DDL)
     )
