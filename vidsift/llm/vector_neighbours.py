@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 
 from vidsift.session import cut, parallelism, spread
 
-#: Vectors the tree is fitted on, at most; vectors the number of leaf visits is calibrated on, at most.
-TREE_SAMPLE = 32_768
+#: Vectors the tree is fitted on: TREE_SAMPLE, or one in TREE_SHARE where the table is large, up to TREE_MOST; vectors the
+#: number of leaf visits is calibrated on, at most.
+TREE_SAMPLE, TREE_SHARE, TREE_MOST = 32_768, 32, 262_144
 CALIBRATION_SAMPLE = 384
-#: Children of a node; rows that a leaf, and vectors that a shard (one task's share of the index), should hold.
+#: Children of a node; rows that a leaf should hold; vectors that a shard (one task's share of the index) holds at most.
 BRANCHES = 64
 LEAF_ROWS = 256
-SHARD_ROWS = 16_384
+SHARD_ROWS = 65_536
 #: Queries that a task should answer.
 TASK_QUERIES = 100_000
 TARGET_RECALL = 0.995
@@ -209,11 +210,64 @@ def _exact(tree_b, queries_b, dims: int, k: int):
     return run
 
 
+@dataclass
+class Plan:
+    """By leaf its first shard and over how many it is dealt; by shard its replicas and the number of its first task."""
+
+    first: list[int]
+    chunks: list[int]
+    replicas: list[int]
+    base: list[int]
+    sent: float
+
+    @staticmethod
+    def packed(sizes: list[int], limit: int) -> tuple[list[int], list[int]]:
+        """Leaves into shards of `limit` rows at most, in order, so that near leaves share one."""
+        first, chunks, filled, shard = [], [], 0, 0
+        for n in sizes:
+            if filled and filled + n > limit:
+                shard, filled = shard + 1, 0
+            first.append(shard)
+            chunks.append(n // limit + 1 if n > limit else 1)
+            shard, filled = shard + chunks[-1] - 1, filled + n // chunks[-1]
+        return first, chunks
+
+    @classmethod
+    def least(cls, sizes: list[int], orders: list[list[int]], rows: int, tasks: int, most: int, leaf_rows: int) -> Plan:
+        """Of several shard sizes the one that sends the fewest vectors: an index row to each replica of its shard, a query to
+        each shard it visits, by what the calibration queries visit. Replicas follow the work of a shard, so that all
+        tasks have their share."""
+        best = None
+        limit = most
+        while best is None or limit >= leaf_rows:
+            first, chunks = cls.packed(sizes, limit)
+            shards = first[-1] + chunks[-1]
+            held, drawn, work = np.zeros(shards), np.zeros(shards), np.zeros(shards)
+            for leaf, n in enumerate(sizes):
+                held[first[leaf] : first[leaf] + chunks[leaf]] += n / chunks[leaf]
+            for seen in orders:
+                own: dict[int, float] = {}
+                for x in seen:
+                    for c in range(chunks[x]):
+                        own[first[x] + c] = own.get(first[x] + c, 0.0) + sizes[x] / chunks[x]
+                for s, n in own.items():
+                    drawn[s] += rows / len(orders)
+                    work[s] += n
+            share = work / max(work.sum(), 1.0) * tasks
+            replicas = np.maximum(np.maximum(np.rint(share), 1), drawn // TASK_QUERIES + 1).astype(int)
+            sent = float((held * replicas).sum() + drawn.sum())
+            if best is None or sent < best.sent:
+                best = cls(first, chunks, replicas.tolist(), np.concatenate([[0], np.cumsum(replicas)]).tolist(), sent)
+            limit //= 2
+        return best
+
+
 def _placed(tree_b, plan_b, dims: int, visits: int):
     """Each class to its shard as a row of the index (kind 0), and to the shards it must search as a query (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, (first, chunks, replicas, base) = tree_b.value, plan_b.value
+        tree, plan = tree_b.value, plan_b.value
+        first, chunks, replicas, base = plan.first, plan.chunks, plan.replicas, plan.base
         for big in batches:
             for at in range(0, big.num_rows, 4096):
                 batch = big.slice(at, 4096)
@@ -382,7 +436,7 @@ def nearest_vectors(
     target: float = TARGET_RECALL,
     leaf_rows: int = LEAF_ROWS,
     shard_rows: int = SHARD_ROWS,
-    tree_sample: int = TREE_SAMPLE,
+    tree_sample: int | None = None,
 ) -> DataFrame:
     """vec_id, neighbour_id (long), similarity (double, 6 decimals), neighbour_rank (int, from 1): k rows per usable vector.
 
@@ -390,20 +444,23 @@ def nearest_vectors(
     answer. Most similar: cosine in double precision rounded to 6 decimals, then the smaller vec_id; equal vectors
     under other ids count. Fewer rows only where fewer than k other usable vectors exist; an empty table gives none.
     vec_id must be unique. Other columns are ignored. Every row is indexed and asks; only the tree is fitted on a
-    bounded sample (`tree_sample`), and the leaf visits are calibrated on CALIBRATION_SAMPLE vectors against brute
+    bounded sample (`tree_sample`; by default it follows the number of rows, up to TREE_MOST), and the leaf visits are calibrated on CALIBRATION_SAMPLE vectors against brute
     force over all rows: the fewest visits in best-bin-first order that reach `target` recall.
 
     Equal vectors are one entry of the index with their k + 1 smallest ids, so masses of copies cost nothing. Leaves
     lie in shards of near leaves; a leaf too large for one shard is dealt over several by hash, all of which its
-    visitors search. A query goes once to each shard it visits, and a shard that draws many queries is replicated.
+    visitors search. A query goes once to each shard it visits, and a shard that draws much work is replicated. How large
+    shards are is chosen by the number of vectors that would be sent, as the calibration queries show it.
     """
     spark = df.sparkSession
     slim = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v"))
-    combined = spread(slim).mapInArrow(_combined(dims, k + 1), "h binary, v binary, n long, ids array<long>")
-    classes = combined.groupBy("h").agg(F.any_value("v").alias("v"), F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
+    combined = slim.mapInArrow(_combined(dims, k + 1), "h binary, v binary, n long, ids array<long>")
+    # one exchange, combined before it, over as many parts as the searches below can use
+    classes = combined.repartition(2 * parallelism(spark), "h").groupBy("h").agg(F.any_value("v").alias("v"), F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
     classes = cut(classes.withColumn("rep", F.element_at("ids", 1)))
     rows = classes.count()
 
+    tree_sample = tree_sample or min(TREE_MOST, max(TREE_SAMPLE, rows // TREE_SHARE))
     pick = lambda share, seed: classes.filter(F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(1 << 30)) < int(min(share, 1.0) * (1 << 30)) + 1)
     sample = pick(tree_sample / max(rows, 1), 1).select("v").limit(tree_sample).toArrow()
     tree = fit_tree(_unit(sample["v"].combine_chunks(), dims)[1], rows, leaf_rows)
@@ -423,25 +480,12 @@ def nearest_vectors(
     leaf_of = lambda batches: (pa.RecordBatch.from_arrays([pa.array(tree_b.value.assign(_unit(b.column(0), dims)[1]))], ["leaf"]) for b in batches)
     for r in classes.select("v").mapInArrow(leaf_of, "leaf int").groupBy("leaf").count().collect():
         sizes[r["leaf"]] = r["count"]
-    limit = min(shard_rows, max(rows // parallelism(spark), leaf_rows))
-    first, chunks, filled, shard = [], [], 0, 0
-    for n in sizes.tolist():
-        if filled and filled + n > limit:
-            shard, filled = shard + 1, 0
-        first.append(shard)
-        chunks.append(n // limit + 1 if n > limit else 1)
-        shard, filled = shard + chunks[-1] - 1, filled + n // chunks[-1]
-    drawn = np.zeros(shard + 1)
-    for seen in order:
-        for s in {first[x] + c for x in seen[:visits] for c in range(chunks[x])}:
-            drawn[s] += rows / max(len(order), 1)
-    replicas = [int(d // TASK_QUERIES) + 1 for d in drawn]
-    base = np.concatenate([[0], np.cumsum(replicas)]).tolist()
-    plan_b = spark.sparkContext.broadcast((first, chunks, replicas, base))
+    plan = Plan.least(sizes.tolist(), [seen[:visits] for seen in order], rows, parallelism(spark), shard_rows, leaf_rows)
+    plan_b = spark.sparkContext.broadcast(plan)
 
     ddl = "place int, kind int, leaves array<int>, v binary, rep long, ids array<long>"
     placed = spread(classes).mapInArrow(_placed(tree_b, plan_b, dims, visits), ddl)
-    placed = placed.repartitionById(max(base[-1], 1), F.col("place")).sortWithinPartitions("place", "kind")
+    placed = placed.repartitionById(max(plan.base[-1], 1), F.col("place")).sortWithinPartitions("place", "kind")
     answers = placed.mapInArrow(_searched(dims, k), "rep long, sims array<double>, ids array<long>")
     # own copies first: they're as similar as can be, and the vector itself is taken out below
     own = classes.select("rep", F.transform("ids", lambda x: F.lit(1.0)).alias("sims"), "ids")
