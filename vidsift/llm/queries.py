@@ -142,8 +142,37 @@ ranked AS (
 """
 
 
+_P1 = f"""
+WITH f AS (SELECT doc_id, text, {visual_forms.form_sql('text')} AS f FROM documents WHERE regexp_matches(text, '[^\\s\\p{{Z}}]')),
+looks AS (SELECT * FROM f WHERE regexp_matches(f, '[^\\s]'))
+"""
+
+_P3 = """
+WITH ok AS (SELECT video_id, keyframe_id, ocr_id, pts_time, text_normalized AS t FROM ocr WHERE keyframe_id IS NOT NULL AND regexp_matches(text_normalized, '[^\\s\\p{Z}]')),
+once AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY video_id, keyframe_id ORDER BY ocr_id) = 1),
+keyed AS (SELECT *, regexp_replace(replace(strip_accents(lower(t)), 'đ', 'd'), '[^\\p{L}\\p{N}]', '', 'g') AS k FROM once),
+pairs AS (SELECT *, lag(k) OVER w AS b, row_number() OVER w AS n FROM keyed WINDOW w AS (PARTITION BY video_id ORDER BY pts_time NULLS LAST, keyframe_id)),
+marked AS (SELECT *, CASE WHEN b IS NULL OR levenshtein(k, b) * 1000 > 150 * greatest(length(k), length(b)) THEN 1 ELSE 0 END AS fresh FROM pairs),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id ORDER BY n) AS run FROM marked),
+ends AS (SELECT video_id, run, arg_min(ocr_id, n) AS first_ocr_id, arg_max(ocr_id, n) AS last_ocr_id, count(*) AS n_events FROM runs GROUP BY ALL)
+"""
+
+
+def _passages(key: str, column: str, source: str) -> str:
+    words = f"string_split({visual_forms.folded_sql(visual_forms.form_sql(column, other_scripts=False))}, ' ')"
+    return f"""(SELECT DISTINCT {key}, array_to_string(w[i:i + 9], ' ') AS p FROM (
+  SELECT {key}, w, unnest(generate_series(1, len(w) - 9)) AS i FROM (SELECT {key}, {words} AS w FROM {source} WHERE {column} IS NOT NULL) WHERE len(w) >= 10))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _P1 + "SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM looks a JOIN looks b ON a.f = b.f AND a.doc_id < b.doc_id AND a.text <> b.text",
+        "p1_classes": _P1
+        + """, n AS (SELECT *, md5(f) AS class_id, count(*) OVER (PARTITION BY f) AS documents, count(*) OVER (PARTITION BY f, text) AS same FROM looks),
+s AS (SELECT class_id, count(DISTINCT text) AS spellings FROM n GROUP BY 1)
+SELECT doc_id, class_id, spellings, documents - same AS links FROM n JOIN s USING (class_id) WHERE spellings > 1""",
+        "p3_found": _P3 + "SELECT video_id, first_ocr_id, last_ocr_id FROM ends WHERE n_events >= 2",
+        "p7_found": f"SELECT DISTINCT doc_id, item_id FROM {_passages('doc_id', 'text', 'documents')} JOIN {_passages('item_id', 'query_text', 'eval_items')} USING (p)",
         "p4_found": _P4 + "SELECT source_kind, record_id, keyframe_id FROM near WHERE k = 1",
         "p4_mapping": _P4 + "SELECT source_kind, record_id, keyframe_id, pts_time, round(d, 6) AS distance_seconds FROM near WHERE k = 1",
         "p5_found": _P5 + "SELECT detection_id FROM ranked WHERE result_rank <= 5",
