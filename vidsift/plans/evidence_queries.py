@@ -158,11 +158,13 @@ def _event_candidates(spark: SparkSession, sf: str, keep: int | None = 8) -> Dat
     return ranking.rank_score(top, ["video_id", "event_id"])
 
 
-_CAND = """
+#: Every event of a user as a candidate; pools keep the best eight of each user and type.
+_ALL = """
 WITH e AS (SELECT 'U' || user_id AS video_id, event_type AS event_id, event_id AS candidate_id, epoch_us(ts) / 1e6 AS t, value AS v FROM events),
-r AS (SELECT *, row_number() OVER (PARTITION BY video_id, event_id ORDER BY v DESC NULLS LAST, candidate_id) AS rank FROM e QUALIFY rank <= 8),
+r AS (SELECT *, row_number() OVER (PARTITION BY video_id, event_id ORDER BY v DESC NULLS LAST, candidate_id) AS rank FROM e),
 c AS (SELECT *, CASE WHEN count(*) OVER w = 1 THEN 1.0 ELSE 1 - (rank - 1.0) / (count(*) OVER w - 1) END AS s FROM r WINDOW w AS (PARTITION BY video_id, event_id))
 """
+_CAND = _ALL.replace(" FROM e),", " FROM e QUALIFY rank <= 8),")
 
 
 @registry(_CAND + "SELECT video_id, event_id, candidate_id, rank, round(s, 6) AS local_score FROM c")
@@ -174,7 +176,7 @@ _COST = "0.25 * ({b}.t - {a}.t) / ({b}.t - {a}.t + 60)"
 
 
 @registry(
-    _CAND
+    _ALL
     + f""", p AS (SELECT a.video_id, a.s + b.s - {_COST.format(a='a', b='b')} AS obj, a.candidate_id || '>' || b.candidate_id AS path
   FROM c a JOIN c b ON a.video_id = b.video_id AND a.event_id = 'view' AND b.event_id = 'click' AND b.t > a.t AND b.t - a.t <= 864000),
 z AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(obj, 9) DESC, path) AS rank FROM p)
@@ -182,12 +184,12 @@ SELECT video_id, round(obj, 6) AS objective, path, rank FROM z WHERE rank <= 5""
 )
 def sequence_two(spark: SparkSession, sf: str) -> DataFrame:
     """The five best paths view, then click within ten days."""
-    s = temporal.align(_event_candidates(spark, sf), ["view", "click"], most_gap=864000.0, top=5)
+    s = temporal.align(_event_candidates(spark, sf, None), ["view", "click"], most_gap=864000.0, top=5)
     return s.select("video_id", F.round("objective", 6).alias("objective"), "path", "rank")
 
 
 @registry(
-    _CAND
+    _ALL
     + f""", p AS (SELECT a.video_id, a.s + b.s - {_COST.format(a='a', b='b')} AS obj, a.candidate_id || '>' || b.candidate_id AS path, b.t
   FROM c a JOIN c b ON a.video_id = b.video_id AND a.event_id = 'view' AND b.event_id = 'click' AND b.t > a.t),
 p2 AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(obj, 9) DESC, path) AS r FROM p QUALIFY r <= 100),
@@ -197,12 +199,12 @@ z AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(obj, 9)
 SELECT video_id, round(obj, 6) AS objective, path, rank FROM z WHERE rank <= 20"""
 )
 def sequence_three(spark: SparkSession, sf: str) -> DataFrame:
-    s = temporal.align(_event_candidates(spark, sf), ["view", "click", "purchase"], top=20)
+    s = temporal.align(_event_candidates(spark, sf, None), ["view", "click", "purchase"], top=20)
     return s.select("video_id", F.round("objective", 6).alias("objective"), "path", "rank")
 
 
 @registry(
-    _CAND
+    _ALL
     + f""", p AS (SELECT a.video_id, a.s + b.s - {_COST.format(a='a', b='b')} AS obj, a.candidate_id || '>' || b.candidate_id AS path, 2 AS matched
   FROM c a JOIN c b ON a.video_id = b.video_id AND a.event_id = 'signup' AND b.event_id = 'purchase' AND b.t > a.t
   UNION ALL SELECT video_id, s - 0.15, candidate_id || '>~skip', 1 FROM c WHERE event_id = 'signup'),
@@ -211,12 +213,12 @@ SELECT video_id, round(obj, 6) AS objective, path, matched::INTEGER AS matched,
 )
 def sequence_optional(spark: SparkSession, sf: str) -> DataFrame:
     """The second event may be skipped at a cost."""
-    s = temporal.align(_event_candidates(spark, sf), ["signup", "purchase"], optional=["purchase"], top=10)
+    s = temporal.align(_event_candidates(spark, sf, None), ["signup", "purchase"], optional=["purchase"], top=10)
     return s.select("video_id", F.round("objective", 6).alias("objective"), "path", F.col("matched").cast("int").alias("matched"), "rank")
 
 
 @registry(
-    _CAND
+    _ALL
     + """, h AS (SELECT video_id, count(*) FILTER (WHERE event_id = 'view') AS n0, count(*) FILTER (WHERE event_id = 'click') AS n1, count(*) FILTER (WHERE event_id = 'purchase') AS n2 FROM c GROUP BY 1),
 o AS (SELECT DISTINCT a.video_id FROM c a JOIN c b ON a.video_id = b.video_id AND a.event_id = 'view' AND b.event_id = 'click' AND b.t > a.t AND b.t - a.t <= 86400
       JOIN c d ON a.video_id = d.video_id AND d.event_id = 'purchase' AND d.t > b.t AND d.t - b.t <= 86400)
@@ -224,35 +226,6 @@ SELECT video_id, CASE WHEN n0 = 0 THEN 'REQUIRED_EVENT_MISSING:view' WHEN n1 = 0
   WHEN video_id IN (SELECT video_id FROM o) THEN 'FEASIBLE' ELSE 'NO_MONOTONIC_REQUIRED_PATH' END AS status FROM h"""
 )
 def sequence_feasible(spark: SparkSession, sf: str) -> DataFrame:
-    return temporal.feasible(_event_candidates(spark, sf), ["view", "click", "purchase"], most_gap=86400.0)
-
-
-def over_all_events(sql: str) -> str:
-    """The SQL of a query over pools of eight, for its twin over every event."""
-    return sql.replace(_CAND, _CAND.replace(" QUALIFY rank <= 8", ""))
-
-
-@registry(over_all_events(registry.sql["sequence_two"]))
-def sequence_two_all(spark: SparkSession, sf: str) -> DataFrame:
-    """sequence_two over every event of a user, not its pool of eight."""
-    s = temporal.align(_event_candidates(spark, sf, None), ["view", "click"], most_gap=864000.0, top=5)
-    return s.select("video_id", F.round("objective", 6).alias("objective"), "path", "rank")
-
-
-@registry(over_all_events(registry.sql["sequence_three"]))
-def sequence_three_all(spark: SparkSession, sf: str) -> DataFrame:
-    s = temporal.align(_event_candidates(spark, sf, None), ["view", "click", "purchase"], top=20)
-    return s.select("video_id", F.round("objective", 6).alias("objective"), "path", "rank")
-
-
-@registry(over_all_events(registry.sql["sequence_optional"]))
-def sequence_optional_all(spark: SparkSession, sf: str) -> DataFrame:
-    s = temporal.align(_event_candidates(spark, sf, None), ["signup", "purchase"], optional=["purchase"], top=10)
-    return s.select("video_id", F.round("objective", 6).alias("objective"), "path", F.col("matched").cast("int").alias("matched"), "rank")
-
-
-@registry(over_all_events(registry.sql["sequence_feasible"]))
-def sequence_feasible_all(spark: SparkSession, sf: str) -> DataFrame:
     return temporal.feasible(_event_candidates(spark, sf, None), ["view", "click", "purchase"], most_gap=86400.0)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vidsift.functions import text as T
 from vidsift.operators import answers, evaluate, ranking, sequences
 from vidsift.plans import planner
-from vidsift.plans.evidence_queries import _CAND, _JUDGE, _event_candidates, _judged, over_all_events
+from vidsift.plans.evidence_queries import _ALL, _CAND, _JUDGE, _event_candidates, _judged
 from vidsift.registry import Registry
 from vidsift.sources.tables import table
 
@@ -34,7 +34,7 @@ def seed_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @registry(
-    _CAND
+    _ALL
     + """, x AS (SELECT a.video_id, a.candidate_id AS aid, a.t AS at, a.s AS s0, b.t AS bt, b.s AS s1, row_number() OVER (PARTITION BY a.video_id, a.candidate_id ORDER BY round(b.s, 9) DESC, b.t DESC, b.candidate_id) AS n
   FROM c a JOIN c b ON a.video_id = b.video_id AND a.event_id = 'click' AND b.event_id = 'view' AND b.t < a.t QUALIFY n = 1),
 y AS (SELECT x.video_id, x.bt AS lo, d.t AS hi, x.s0 + x.s1 + d.s AS total, row_number() OVER (PARTITION BY x.video_id, x.aid ORDER BY round(d.s, 9) DESC, d.t, d.candidate_id) AS n2
@@ -43,13 +43,6 @@ SELECT video_id, round(greatest(lo - 2, 0), 6) AS start, round(hi + 2, 6) AS "en
 )
 def event_windows_around_anchor(spark: SparkSession, sf: str) -> DataFrame:
     """Windows around each click: the best view before it and the best purchase after it."""
-    w = sequences.windows(_event_candidates(spark, sf), EVENTS, "click")
-    return w.select("video_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), F.round("score", 6).alias("score"))
-
-
-@registry(over_all_events(registry.sql["event_windows_around_anchor"]))
-def event_windows_around_anchor_all(spark: SparkSession, sf: str) -> DataFrame:
-    """event_windows_around_anchor with every click as an anchor, over every event."""
     w = sequences.windows(_event_candidates(spark, sf, None), EVENTS, "click")
     return w.select("video_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), F.round("score", 6).alias("score"))
 

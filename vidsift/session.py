@@ -28,10 +28,13 @@ def get_spark(app: str = "vidsift", cores: int | str = 8, shuffle_partitions: in
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; only where none is named (tests), a local one is set."""
+    """Use the shared folder the cluster names. Only a local session without one (tests) gets a local folder: the executors of a
+    cluster couldn't read it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vidsift-ckpt-"))
 
 
