@@ -176,11 +176,11 @@ def test_what_is_learned_does_not_depend_on_partitions(spark):
     texts = corpus(n=2000)
     wrong = planted(texts)
     d = spark.createDataFrame([(wrong.get(i, t),) for i, t in enumerate(texts)], "text string")
-    one, many = (mojibake.learn(d.repartition(n), text="text") for n in (1, 13))
+    one, many = (mojibake.infer(d.repartition(n), text="text") for n in (1, 13))
     assert one == many
-    own = next(m for m in one[0] if m.name.startswith("inferred"))
+    own = next(m for m in one[0] if m.read.startswith("inferred"))
     assert len(own.reads) > 20 and sum(own_table()[b] == c for b, c in own.reads) >= 0.9 * len(own.reads)
-    assert {"cp1252", "mac_roman", "cp437", "cp1256"} <= {m.name for m in one[0]} and any(m.letters for m in one[0])
+    assert {"cp1252", "mac_roman", "cp437", "cp1256"} <= {m.read for m in one[0]} and any(m.letters for m in one[0])
 
 
 def test_tiny_tables(spark):

@@ -69,11 +69,12 @@ def tones_apart(s: str) -> str:
     return "".join(out)
 
 
-def misread(clean: str, written: str, read: str) -> str | None:
-    """What a clean text looks like after it was written in one encoding and read in a single-byte one; null if it can't be written so."""
+def misread(clean: str, t: tuple[str, str]) -> str | None:
+    """What a clean text looks like after it was written with t[0] and read with t[1], a single-byte encoding; null if it can't be written so."""
+    written, read = t
     table = encodings()[read]
     try:
-        data = clean.encode(written)
+        data = (tones_apart(clean) if written == "cp1258" else clean).encode(written)
     except UnicodeEncodeError:
         return None
     return "".join(table[b] for b in data)
@@ -257,7 +258,8 @@ class Mapping:
     """One learned transformation. `reads`: the character each byte of a UTF-8 text was read as. Or `letters`: what each letter
     (an accented one with its tone apart, composed) became."""
 
-    name: str
+    written: str
+    read: str
     reads: tuple[tuple[int, str], ...] = ()
     letters: tuple[tuple[str, str], ...] = ()
 
@@ -277,18 +279,18 @@ def byte_mappings(found: list[dict[int, tuple[int, int]]]) -> list[Mapping]:
         most = max(share.values())
         if most >= AGREEMENT and len(table) >= LEAST_ASSIGNMENTS:
             for name in (n for n, x in share.items() if x == most):
-                out.setdefault(name, Mapping(name, tuple((b, c) for b, c in enumerate(encodings()[name]) if b >= 0x80 and c >= "\x80")))
+                out.setdefault(name, Mapping("utf-8", name, tuple((b, c) for b, c in enumerate(encodings()[name]) if b >= 0x80 and c >= "\x80")))
         elif len(table) >= OWN_ASSIGNMENTS and 10 * sum(unicodedata.category(chr(c)) in ("Mn", "Cf") for c, _ in table.values()) < len(table):
-            out[f"inferred {i}"] = Mapping(f"inferred {i}", tuple((b, chr(c)) for b, (c, _) in sorted(table.items())))
+            out[f"inferred {i}"] = Mapping("utf-8", f"inferred {i}", tuple((b, chr(c)) for b, (c, _) in sorted(table.items())))
     return list(out.values())
 
 
 def letter_mappings(found: list[dict[int, tuple[int, int]]], alphabet: frozenset[int]) -> list[Mapping]:
     """A table of letters completed by the pair of public single-byte encodings (written, read) that agrees with it best. Without
     such a pair it is no evidence: letters also face each other in misspellings."""
-    out: dict[str, Mapping] = {}
+    out: dict[tuple[str, str], Mapping] = {}
     for table in found:
-        best, most, name = None, 0.0, ""
+        best, most, names = None, 0.0, ("", "")
         for written, chars in encodings().items():
             back = {c: b for b, c in reversed(list(enumerate(chars)))}
             if sum(chr(s) in back for s in table) < LETTER_ASSIGNMENTS:
@@ -296,7 +298,7 @@ def letter_mappings(found: list[dict[int, tuple[int, int]]], alphabet: frozenset
             for read, seen in encodings().items():
                 share = _agreement(table, lambda s: seen[back[chr(s)]] if chr(s) in back else None)  # noqa: B023
                 if share > most:
-                    best, most, name = (back, seen), share, f"{written}>{read}"
+                    best, most, names = (back, seen), share, (written, read)
         if best is None or most < AGREEMENT or len(table) < LETTER_ASSIGNMENTS:
             continue
         back, seen = best
@@ -307,11 +309,11 @@ def letter_mappings(found: list[dict[int, tuple[int, int]]], alphabet: frozenset
                 form = "".join(seen[back[x]] for x in apart)
                 if form != c and not form.isascii():
                     letters.setdefault(form, c)
-        out.setdefault(name, Mapping(name, letters=tuple(sorted(letters.items()))))
+        out.setdefault(names, Mapping(*names, letters=tuple(sorted(letters.items()))))
     return list(out.values())
 
 
-def learn(docs: DataFrame, *, text: str, least: int = LEAST_SUPPORT) -> tuple[list[Mapping], frozenset[int]]:
+def infer(docs: DataFrame, *, text: str, least: int = LEAST_SUPPORT) -> tuple[list[Mapping], frozenset[int]]:
     """The mappings that all documents show, and the non-ASCII characters that occur twice or more; one read of the documents.
 
     Each word in a context is joined with the most frequent word of the same context, its clean near-twin (context: the
@@ -336,6 +338,11 @@ def learn(docs: DataFrame, *, text: str, least: int = LEAST_SUPPORT) -> tuple[li
     return byte_mappings(tables(by_kind[0], least)) + letter_mappings(tables(by_kind[1], least), alphabet), alphabet
 
 
+def learn(docs: DataFrame, *, text: str, least: int = LEAST_SUPPORT) -> list[tuple[str, str]]:
+    """The encodings (written, read) of the mappings that all documents show; `inferred` ones have no public name."""
+    return [(m.written, m.read) for m in infer(docs, text=text, least=least)[0]]
+
+
 class Reader:
     """Sequences of learned mappings in texts, and their replacement. A sequence is known by its mapping and the character it stands for."""
 
@@ -514,7 +521,7 @@ def find(docs: DataFrame, *, doc_id: str, text: str, least: int = LEAST_SUPPORT)
     too few documents to tell counts if it has company there or is three characters long or more.
     """
     key = docs.schema[doc_id].dataType.simpleString()
-    learned, alphabet = learn(docs, text=text, least=least)
+    learned, alphabet = infer(docs, text=text, least=least)
     reader_b = docs.sparkSession.sparkContext.broadcast((learned, alphabet))
     slim = spread(docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).filter(F.col("t").isNotNull()))
     rows = cut(slim.mapInArrow(_scan(reader_b), f"k {key}, lost boolean, hits array<long>, alone array<boolean>"))
