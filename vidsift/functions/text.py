@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -45,9 +46,18 @@ COLOR_WORDS = {"đỏ": ("red",), "red": ("đỏ",), "xanh": ("blue", "green"),
                "đen": ("black",), "black": ("đen",), "vàng": ("yellow",), "yellow": ("vàng",), "hồng": ("pink",), "pink": ("hồng",)}
 UNITS = ("kg", "g", "km", "m", "cm", "phút", "giây", "hours", "minutes", "seconds")
 VIDEO_ID_PATTERN = r"^L\d{2}_V\d{3}$"
-FRAME_SUFFIX_PATTERN = r"_F(\d+)$"
 DATE_PATTERNS = ("d/M/yyyy", "yyyy-M-d", "d-M-yyyy", "yyyyMMdd", "ddMMyyyy")
 SEARCH_TOKEN = r"[\p{L}\p{N}]+"
+#: Where a question begins, and where a moment of a narrative ends.
+QUESTION_CLAUSE = r"(?iU)(?:[.!?]\s*)?(?:hỏi|hãy cho biết|cho biết|question)\s*[:：]?\s*"
+EVENT_END = r"(?iU)(?:[.!?;]+\s*|\b(?:sau đó|tiếp theo|cuối cùng|rồi|then|after that|finally)\b)"
+QUOTED = '["“”]([^"“”]+)["“”]'
+SAID_DATE, WRITTEN_DATE = r"\bngay\s+(\d{1,2})\s+thang\s+(\d{1,2})\s+nam\s+(\d{4})\b", r"\b(\d{1,2})[./-](\d{1,2})[./-](\d{4})\b"
+SYNONYMS = ((r"\bman\b", "person"), (r"\bwoman\b", "person"), (r"\bholding\b", "carrying"), (r"\bholds\b", "carries"), (r"\benters\b", "walks into"), (r"\bcelebrating\b", "cheering"))
+ARTICLES = r"\b(?:a|an|the)\b"
+MOJIBAKE_MARKERS = ("Ãâ", "Ãá", "Ãà", "Ãé", "Ãê", "Ãô", "Æ°", "Ä\x91", "Ä\x90", "á»", "áº", "â€", "â\x96", "â\x9c", "Â©", "Â®")
+#: Letters of Vietnamese beyond ASCII, in lower case.
+VIETNAMESE_LETTERS = "ăâđêôơưáàảãạắằẳẵặấầẩẫậéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ"
 
 
 def _vectorised(f, kind: T.DataType = T.StringType()):
@@ -74,16 +84,41 @@ normalize_exact = _vectorised(lambda s: _words(unicodedata.normalize("NFC", s).c
 #: The same without accents, đ as d.
 fold_exact = _vectorised(lambda s: _words(_no_marks(s.casefold()).replace("đ", "d")))
 #: For metadata search: lower case without accents, punctuation kept.
-search_fold = _vectorised(lambda s: unicodedata.normalize("NFC", _no_marks(unicodedata.normalize("NFC", s).lower().replace("đ", "d"))))
+search_fold = _vectorised(lambda s: searchable(s))
 #: Object labels: compatibility decomposition, then a-z and 0-9 only, so đ drops out.
 label_fold = _vectorised(lambda s: re.sub(r"[^a-z0-9]+", " ", "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).lower()).strip())
 #: Event decomposition: case folded without accents, đ kept.
 event_fold = _vectorised(lambda s: " ".join(_no_marks(s.casefold()).split()))
+#: Queries of the planners: composed, case folded, single spaces.
+planner_normalize = _vectorised(lambda s: " ".join(unicodedata.normalize("NFC", s).casefold().split()))
 #: Answers: composed, single spaces, case folded, without punctuation at the ends.
 answer_canonical = _vectorised(lambda s: " ".join(unicodedata.normalize("NFC", s).split()).casefold().strip(" .,:;!?…"))
 accent_fold = _vectorised(lambda s: _no_marks(s).replace("đ", "d"))
 
 
+def spelled(s: str) -> str:
+    """Metadata as it is compared word for word: composed, single blanks, at most one empty line, lower case."""
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", unicodedata.normalize("NFC", s))).strip().lower()
+
+
+def searchable(s: str) -> str:
+    """The same without accents, đ as d; punctuation stays."""
+    return unicodedata.normalize("NFC", _no_marks(spelled(s).replace("đ", "d")))
+
+
+@lru_cache(maxsize=1)
+def _marked() -> tuple[str, str]:
+    """Letters that decompose into one letter and marks, and that letter."""
+    pairs = [(c, _no_marks(c)) for c in map(chr, range(0x80, 0x10000)) if unicodedata.decomposition(c)[:1] not in ("", "<")]
+    pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def unmarked(c: Column) -> Column:
+    """The text without accents, đ kept, as a column expression: what an index keeps that drops diacritics."""
+    return F.regexp_replace(F.translate(c, *_marked()), r"\p{Mn}+", "")
+
+
 def normalize(c: Column) -> Column:
     """normalize_exact for composed texts, as a column expression."""
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
@@ -104,25 +139,36 @@ def metadata_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
-def planner_normalize(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+def _standing(phrases: tuple[str, ...]) -> str:
+    return r"(?U)(?<!\w)(?:" + "|".join(map(re.escape, phrases)) + r")(?!\w)"
+
+
+def contains_phrase(text: Column, *phrases: str) -> Column:
+    """One of the phrases stands between characters that aren't word characters."""
+    return text.rlike(_standing(phrases))
 
 
-def contains_phrase(text: Column, phrase: str) -> Column:
-    """The phrase stands between characters that aren't word characters."""
-    return text.rlike(r"(?U)(?<!\w)" + re.escape(phrase) + r"(?!\w)")
+def phrases_in(text: Column, phrases: tuple[str, ...]) -> Column:
+    """Those of the phrases that the text contains, in the order of the list."""
+    return F.array_compact(F.array(*[F.when(contains_phrase(text, p), F.lit(p)) for p in phrases]))
+
+
+def without_phrases(text: Column, phrases: tuple[str, ...]) -> Column:
+    """The text with each phrase taken out, one after another, single spaces."""
+    for p in phrases:
+        text = F.regexp_replace(text, _standing((p,)), " ")
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def quoted_phrases(c: Column) -> Column:
-    found = F.regexp_extract_all(c, F.lit('["“”]([^"“”]+)["“”]'), F.lit(1))
+    found = F.regexp_extract_all(c, F.lit(QUOTED), F.lit(1))
     return F.filter(F.transform(found, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def date_tokens(raw: Column, folded: Column) -> Column:
     """Dates as DDMMYYYY: `ngay D thang M nam Y` in the folded text, `D.M.Y`, `D/M/Y` or `D-M-Y` in the raw one."""
-    said, written = r"\bngay (\d{1,2}) thang (\d{1,2}) nam (\d{4})\b", r"\b(\d{1,2})[./-](\d{1,2})[./-](\d{4})\b"
     pick = lambda c, p: F.arrays_zip(*[F.regexp_extract_all(c, F.lit(p), F.lit(i)).alias(f"p{i}") for i in (1, 2, 3)])
-    both = F.concat(pick(folded, said), pick(raw, written))
+    both = F.concat(pick(folded, SAID_DATE), pick(raw, WRITTEN_DATE))
     return F.array_distinct(F.transform(both, lambda d: F.concat(F.lpad(d["p1"], 2, "0"), F.lpad(d["p2"], 2, "0"), d["p3"])))
 
 
@@ -136,26 +182,45 @@ def parse_date(c: Column) -> Column:
 
 def question_scene(c: Column) -> Column:
     """What stands before the first question clause; the whole text if nothing does."""
-    scene = F.element_at(F.split(F.trim(c), r"(?iU)(?:[.!?]\s*)?(?:hỏi|hãy cho biết|cho biết|question)\s*[:：]?\s*", 2), 1)
+    scene = F.element_at(F.split(F.trim(c), QUESTION_CLAUSE, 2), 1)
     scene = F.btrim(scene, F.lit(" ,.;:-"))
     return F.when(scene != "", scene).otherwise(F.trim(c))
 
 
 def split_events(c: Column, most: int = 5) -> Column:
-    """Moments of a narrative: split at sentence ends and connectors, 8 characters or more, each once, `most` at most."""
-    parts = F.split(c, r"(?iU)(?:[.!?;]+\s*|\b(?:sau đó|tiếp theo|cuối cùng|rồi|then|after that|finally)\b)")
-    clean = F.transform(parts, lambda p: F.regexp_replace(F.btrim(p, F.lit(" ,.;:-")), r"\s+", " "))
-    return F.slice(F.array_distinct(F.filter(clean, lambda p: F.length(p) >= 8)), 1, most)
+    """Moments of a narrative: split at sentence ends and connectors, 8 characters or more, each once, `most` at most; the whole
+    text, with single spaces, where none is left."""
+    clean = F.transform(F.split(c, EVENT_END), lambda p: F.trim(F.regexp_replace(F.btrim(p, F.lit(" ,.;:-")), r"(?U)\s+", " ")))
+    long = F.slice(F.array_distinct(F.filter(clean, lambda p: F.length(p) >= 8)), 1, most)
+    return F.when(F.size(long) > 0, long).otherwise(F.array(F.trim(F.regexp_replace(c, r"(?U)\s+", " "))))
 
 
 def query_variants(c: Column, most: int = 3) -> Column:
     """Substitutions of common words and the text without articles, those that differ from it."""
-    pairs = ((r"\bman\b", "person"), (r"\bwoman\b", "person"), (r"\bholding\b", "carrying"), (r"\bholds\b", "carries"), (r"\benters\b", "walks into"), (r"\bcelebrating\b", "cheering"))
-    made = [F.regexp_replace(c, "(?i)" + p, r) for p, r in pairs]
-    made.append(F.trim(F.regexp_replace(F.regexp_replace(c, r"(?i)\b(?:a|an|the)\b", " "), r"\s+", " ")))
+    made = [F.regexp_replace(c, "(?iU)" + p, r) for p, r in SYNONYMS]
+    made.append(F.trim(F.regexp_replace(F.regexp_replace(c, "(?iU)" + ARTICLES, " "), r"(?U)\s+", " ")))
     return F.slice(F.array_distinct(F.filter(F.array(*made), lambda v: (v != c) & (v != ""))), 1, most)
 
 
+def has_mojibake(c: Column) -> Column:
+    """One of the sequences that Vietnamese letters and signs become when UTF-8 is read as Latin; a quick test for reports."""
+    return F.exists(F.array(*[F.lit(m) for m in MOJIBAKE_MARKERS]), lambda m: F.contains(c, m))
+
+
+def has_vietnamese(c: Column) -> Column:
+    return F.lower(c).rlike(f"[{VIETNAMESE_LETTERS}]")
+
+
+def log_confidence(mean_log_probability: Column) -> Column:
+    """A recogniser's mean log probability as a confidence from 0 to 1; null stays null."""
+    return F.when(mean_log_probability.isNotNull(), F.least(F.greatest(F.exp(mean_log_probability), F.lit(0.0)), F.lit(1.0)))
+
+
+def picked_confidence(*candidates: Column) -> Column:
+    """The first stated confidence (score, recogniser, detector), clipped to 0..1; 1 where none is stated."""
+    return F.least(F.greatest(F.coalesce(*candidates, F.lit(1.0)).cast("double"), F.lit(0.0)), F.lit(1.0))
+
+
 def has_control_characters(c: Column) -> Column:
     return F.regexp_replace(c, r"[\n\r\t]", "").rlike(r"\p{Cc}")
 

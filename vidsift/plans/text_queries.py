@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vidsift.functions import text as T
@@ -42,43 +42,82 @@ def bm25_docs(spark: SparkSession, sf: str) -> DataFrame:
     return hits.withColumn("score", F.round("score", 6))
 
 
-@registry(
-    f"""
-WITH d AS (SELECT ocr_id, 'n' AS field, unnest({_tok('text_normalized')}) AS term FROM ocr UNION ALL SELECT ocr_id, 'f', unnest({_tok('text_folded')}) FROM ocr),
-l AS (SELECT ocr_id, coalesce(len({_tok('text_normalized')}), 0) + coalesce(len({_tok('text_folded')}), 0) AS dl FROM ocr),
-st AS (SELECT count(*) AS n_docs, avg(dl) AS mean_dl FROM l),
-q AS (SELECT DISTINCT item_id AS query_id, unnest({_tok('query_text')}) AS term FROM eval_items WHERE suite = 'qa'),
-tf AS (SELECT ocr_id, field, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+# Words as spelled and without accents; the second form also takes đ for d.
+_N = "trim(regexp_replace(lower(nfc_normalize({0})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+_F = "trim(regexp_replace(replace(strip_accents(lower({0})), 'đ', 'd'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+def _two_column_bm25(table_name: str, key: str, query: str, form: str = "{0}", keep: str = "true", k: int = 10) -> str:
+    """BM25 over text_normalized and text_folded; `query` gives query_id and term, each a phrase."""
+    tok = lambda c: f"coalesce({_TOKENS.format(form.format(c))}, [])"
+    return f"""
+WITH d AS (SELECT {key}, confidence_, {tok('text_normalized')} AS a, {tok('text_folded')} AS b FROM (SELECT *, {keep} AS confidence_ FROM {table_name})),
+l AS (SELECT {key}, len(a) + len(b) AS dl FROM d), st AS (SELECT count(*) AS n_docs, avg(dl) AS mean_dl FROM l),
+q AS ({query}), w AS (SELECT query_id, {form.format('term')} AS term, count(*) AS weight FROM q WHERE term <> '' GROUP BY ALL),
+tf AS (SELECT {key}, field, term, count(*) AS tf FROM (SELECT {key}, 'a' AS field, unnest(a) AS term FROM d UNION ALL SELECT {key}, 'b', unnest(b) FROM d) WHERE term IN (SELECT term FROM w) GROUP BY ALL),
 df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL),
 i AS (SELECT field, term, CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) > 0 THEN ln((n_docs - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM df, st),
-a AS (SELECT query_id, ocr_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean_dl))) AS score, count(DISTINCT term) AS matched_terms
-      FROM q JOIN tf USING (term) JOIN i USING (field, term) JOIN l USING (ocr_id), st GROUP BY ALL)
-SELECT query_id, ocr_id, round(score, 6) AS score, matched_terms, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ocr_id) AS rank FROM a QUALIFY rank <= 10"""
-)
+p AS (SELECT query_id, {key}, term, any_value(weight) AS weight, sum(weight * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean_dl))) AS part
+      FROM w JOIN tf USING (term) JOIN i USING (field, term) JOIN l USING ({key}), st GROUP BY ALL),
+s AS (SELECT query_id, {key}, sum(part) AS score, sum(weight)::BIGINT AS matched_terms FROM p JOIN d USING ({key}) WHERE confidence_ GROUP BY ALL)
+SELECT query_id, {key}, round(score, 6) AS score, matched_terms, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, {key}) AS rank FROM s QUALIFY rank <= {k}"""
+
+
+_SPELLINGS = f"SELECT DISTINCT item_id AS query_id, unnest(string_split({_N.format('query_text')}, ' ') || string_split({_F.format('query_text')}, ' ')) AS term FROM eval_items"
+_DATES = f"""
+UNION SELECT item_id, lpad(x[1], 2, '0') || lpad(x[2], 2, '0') || x[3] FROM (SELECT item_id, regexp_extract_all(d, '\\d+') AS x FROM (
+  SELECT item_id, unnest(regexp_extract_all({_F.format('query_text')}, '\\bngay\\s+\\d{{1,2}}\\s+thang\\s+\\d{{1,2}}\\s+nam\\s+\\d{{4}}\\b') || regexp_extract_all(query_text, '\\b\\d{{1,2}}[./-]\\d{{1,2}}[./-]\\d{{4}}\\b')) AS d FROM eval_items))"""
+
+
+@registry(_two_column_bm25("documents", "doc_id", _SPELLINGS + _DATES, "strip_accents(lower({0}))"))
+def corpus_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Every evaluation item asks both stored forms of the corpus, with and without accents, and by its dates."""
+    q = table(spark, sf, "eval_items").select(F.col("item_id").alias("query_id"), "query_text")
+    hits = lexical.corpus_search(table(spark, sf, "documents"), q, doc_id="doc_id")
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@registry(_two_column_bm25("ocr", "ocr_id", _SPELLINGS))
 def ocr_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Two columns, each term a phrase of its own in each."""
-    q = table(spark, sf, "eval_items").filter("suite = 'qa'").select(F.col("item_id").alias("query_id"), "query_text")
-    hits = lexical.bm25(table(spark, sf, "ocr"), q, doc_id="ocr_id", fields={"n": "text_normalized", "f": "text_folded"})
+    """Every evaluation item asks the on-screen texts: two columns, each term a phrase of its own in each."""
+    q = table(spark, sf, "eval_items").select(F.col("item_id").alias("query_id"), "query_text")
+    hits = lexical.evidence_search(table(spark, sf, "ocr"), q, doc_id="ocr_id")
     return hits.select("query_id", F.col("doc_id").alias("ocr_id"), F.round("score", 6).alias("score"), "matched_terms", "rank")
 
 
+@registry(_two_column_bm25("asr", "asr_id", _SPELLINGS, keep="coalesce(confidence >= 0.6, false)"))
+def asr_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Every evaluation item asks the speech segments; only confident ones come out, counts cover all."""
+    q = table(spark, sf, "eval_items").select(F.col("item_id").alias("query_id"), "query_text")
+    hits = lexical.evidence_search(table(spark, sf, "asr"), q, doc_id="asr_id", min_confidence=0.6)
+    return hits.select("query_id", F.col("doc_id").alias("asr_id"), F.round("score", 6).alias("score"), "matched_terms", "rank")
+
+
+_WORDS = "regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}_]+')"
+
+
 @registry(
     f"""
-WITH d AS (SELECT p_partkey, unnest({_tok('p_name')}) AS term, 3.0 AS w FROM part UNION ALL SELECT p_partkey, unnest({_tok('p_brand')}), 2.0 FROM part UNION ALL SELECT p_partkey, unnest({_tok('p_type')}), 2.0 FROM part),
-l AS (SELECT p_partkey, sum(w) AS dl FROM d GROUP BY 1), st AS (SELECT count(*) AS n_docs, (SELECT avg(coalesce(dl, 0)) FROM part LEFT JOIN l USING (p_partkey)) AS mean_dl FROM part),
-q AS (SELECT query_id, unnest({_tok('query_text')}) AS term FROM (SELECT DISTINCT 0 AS query_id, p_type AS query_text FROM part)),
-qq AS (SELECT term, count(*) AS qtf FROM q GROUP BY 1),
+WITH f AS (SELECT p_partkey, lower(p_name) AS n, lower(p_brand) AS b, lower(p_type) AS y FROM part),
+d AS (SELECT p_partkey, unnest({_WORDS.format('n')}) AS term, 3.0 AS w FROM f UNION ALL SELECT p_partkey, unnest({_WORDS.format('b')}), 2.0 FROM f UNION ALL SELECT p_partkey, unnest({_WORDS.format('y')}), 1.0 FROM f),
+l AS (SELECT p_partkey, sum(w) AS dl FROM d GROUP BY 1), st AS (SELECT (SELECT count(*) FROM part) AS n_docs, (SELECT sum(dl) FROM l) / (SELECT count(*) FROM part) AS mean_dl),
+qs AS (SELECT row_number() OVER (ORDER BY p_type) AS query_id, lower(p_type) AS query_text FROM (SELECT DISTINCT p_type FROM part)),
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_WORDS.format('query_text')}) AS term FROM qs) GROUP BY ALL),
 tf AS (SELECT p_partkey, term, sum(w) AS tf FROM d GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-a AS (SELECT p_partkey, sum(qtf * (ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean_dl)) + 0.35)) AS score, count(*) AS matched_terms
-      FROM qq JOIN tf USING (term) JOIN df USING (term) JOIN l USING (p_partkey), st GROUP BY 1)
-SELECT p_partkey, round(score, 6) AS score, matched_terms, row_number() OVER (ORDER BY round(score, 9) DESC, p_partkey) AS rank FROM a QUALIFY rank <= 25"""
+a AS (SELECT query_id, p_partkey, sum(qtf * (ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean_dl)) + 0.35)) AS score, count(*) AS matched_terms
+      FROM q JOIN tf USING (term) JOIN df USING (term) JOIN l USING (p_partkey), st GROUP BY ALL),
+z AS (SELECT query_id, p_partkey, matched_terms, score + CASE WHEN (SELECT count(*) FROM q WHERE q.query_id = a.query_id) > 1 THEN
+        CASE WHEN contains(n, query_text) THEN 3.0 ELSE 0 END + CASE WHEN contains(b, query_text) THEN 2.5 ELSE 0 END + CASE WHEN contains(y, query_text) THEN 0.5 ELSE 0 END ELSE 0 END AS score
+      FROM a JOIN f USING (p_partkey) JOIN qs USING (query_id))
+SELECT query_id, p_partkey, round(score, 6) AS score, matched_terms, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, p_partkey) AS rank FROM z QUALIFY rank <= 10"""
 )
 def bm25_fielded(spark: SparkSession, sf: str) -> DataFrame:
-    """Name three times, brand and type twice; the query is all types together."""
+    """Every type asks the parts: name three times, brand twice, type once, with bonuses for words and phrases as spelled."""
     part = table(spark, sf, "part")
-    q = part.select("p_type").distinct().select(F.lit(0).cast("long").alias("query_id"), F.col("p_type").alias("query_text"))
-    hits = lexical.fielded_bm25(part, q, doc_id="p_partkey", weights={"p_name": 3, "p_brand": 2, "p_type": 2}, k=25)
-    return hits.select(F.col("doc_id").alias("p_partkey"), F.round("score", 6).alias("score"), "matched_terms", "rank")
+    w = Window.orderBy("p_type")  # the distinct types, a handful
+    q = part.select("p_type").distinct().select(F.row_number().over(w).cast("long").alias("query_id"), F.col("p_type").alias("query_text"))
+    hits = lexical.fielded_bm25(part, q, doc_id="p_partkey", weights={"p_name": 3.0, "p_brand": 2.0, "p_type": 1.0}, roles={"p_name": "title", "p_brand": "author", "p_type": "description"})
+    return hits.select("query_id", F.col("doc_id").alias("p_partkey"), F.round("score", 6).alias("score"), "matched_terms", "rank")
 
 
 @registry(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({_D}) AS term FROM documents) GROUP BY 1 ORDER BY df DESC, term LIMIT 50")
@@ -126,10 +165,12 @@ def metadata_texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").filter(t.isNotNull()).select("doc_id", T.metadata_text(t).alias("cleaned"), T.preview(t).alias("preview"), F.length(t).cast("long").alias("n"))
 
 
-_COLOR = "coalesce(" + ", ".join(f"CASE WHEN {' OR '.join(f'''contains(lower(query_text), '{a}')''' for a in names)} THEN '{c}' END" for c, names in T.COLOR_ALIASES.items()) + ")"
-
-
-@registry(f"SELECT item_id, {_COLOR} AS color FROM eval_items")
+@registry("""SELECT item_id, CASE
+  WHEN regexp_matches(lower(query_text), 'red|đỏ|do') THEN 'red' WHEN regexp_matches(lower(query_text), 'blue|xanh duong|xanh dương') THEN 'blue'
+  WHEN regexp_matches(lower(query_text), 'green|xanh la|xanh lá') THEN 'green' WHEN regexp_matches(lower(query_text), 'yellow|vang|vàng') THEN 'yellow'
+  WHEN regexp_matches(lower(query_text), 'white|trang|trắng') THEN 'white' WHEN regexp_matches(lower(query_text), 'black|den|đen') THEN 'black'
+  WHEN regexp_matches(lower(query_text), 'orange|cam') THEN 'orange' WHEN regexp_matches(lower(query_text), 'pink|hong|hồng') THEN 'pink'
+  WHEN regexp_matches(lower(query_text), 'purple|tim|tím') THEN 'purple' WHEN regexp_matches(lower(query_text), 'brown|nau|nâu') THEN 'brown' END AS color FROM eval_items""")
 def query_colors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "eval_items").select("item_id", T.color_of(F.col("query_text")).alias("color"))
 
@@ -141,42 +182,108 @@ def query_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "eval_items").select("item_id", F.array_join(T.quoted_phrases(t), "|").alias("quoted"), T.contains_phrase(T.planner_normalize(t), "sign").alias("has_sign"))
 
 
-_TYPE = "coalesce(" + ", ".join(f"CASE WHEN {' OR '.join(f'''contains(t, '{c}')''' for c in cues)} THEN '{kind}' END" for kind, cues in planner.QUESTION_CUES) + ", 'unknown')"
+# Normalised queries, and whether one of several phrases stands between other characters than those of words; the lists are
+# written out here, apart from the planner's tables, so that a word that is missing there shows.
+_QUERY = "SELECT item_id, query_text, trim(regexp_replace(lower(nfc_normalize(query_text)), '\\s+', ' ', 'g')) AS t FROM eval_items"
+_EDGE = "[^\\p{L}\\p{N}_\\p{M}]"
 
 
-@registry(f"SELECT item_id, {_TYPE} AS question_type FROM (SELECT item_id, trim(regexp_replace(lower(query_text), '\\s+', ' ', 'g')) AS t FROM eval_items)")
-def question_types(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "eval_items").select("item_id", planner.question_type(F.col("query_text")).alias("question_type"))
+def _stands(column: str, phrases: str) -> str:
+    return f"regexp_matches({column}, '(^|{_EDGE})({phrases})($|{_EDGE})')"
 
 
-def _words(col: str, markers: tuple[str, ...]) -> str:
-    alt = "|".join(markers)
-    return f"regexp_matches({col}, '(^|[^\\p{{L}}\\p{{N}}_\\p{{M}}])({alt})($|[^\\p{{L}}\\p{{N}}_\\p{{M}}])')"
+_SQL_TEXT = "chữ|text|biển hiệu|biển báo|logo|phụ đề|ghi|hiển thị|bảng|ký tự|con số|số mấy|địa chỉ|đường nào|màn hình|đếm ngược|written|sign|caption|countdown"
+_SQL_SPEECH = "nói|phát biểu|nhắc đến|được nhắc đến|nghe|lời thoại|trò chuyện|đối thoại|trả lời|says|speaks|talks|conversation"
+_SQL_METADATA = "kênh|tác giả|ngày|tiêu đề|channel|author|published"
+_SQL_EXACT = "chính xác|nguyên văn|từ khóa|mã|mã số|số hiệu|con số|số mấy|số lượng|số thứ tự|bao nhiêu|chữ|ký tự|biển hiệu|biển báo|bảng|ghi|hiển thị|địa chỉ|đường nào|exact|keyword|code|written|sign"
+_SQL_CONTENT = "nội dung|chủ đề|bản tin|đề cập|nhắc đến|được nhắc đến|nói|phát biểu|trò chuyện|đối thoại|trả lời|lời thoại|content|topic|report|about|mentions|says|speech|conversation"
+_SQL_VISUAL = (
+    "cảnh|khung hình|hình ảnh|đoạn phim|đoạn clip|người|cô gái|người đàn ông|người phụ nữ|cụ ông|cụ bà|xe|ô tô|mặc|màu|cầm|đặt|đứng|ngồi|đi|chạy|rẽ|nấu|bên cạnh|phía sau|"
+    "scene|frame|image|person|man|woman|car|wearing|holding|standing|sitting|walking|driving|cooking"
+)
+_SQL_PLAN = f"""
+WITH t AS ({_QUERY}),
+f AS (SELECT item_id, query_text, t, {_stands('t', 'phone|điện thoại|smartphone')} AS phone, {_stands('t', 'car|vehicle|ô tô|xe hơi')} AS car, {_stands('t', 'person|people|người|man|woman')} AS person,
+      {_stands('t', 'bicycle|bike|xe đạp')} AS bicycle, {_stands('t', 'đỏ|xanh|vàng|trắng|đen|hồng|green|red|blue|white|black')} AS attributes, {_stands('t', _SQL_TEXT)} AS said_text,
+      regexp_matches(query_text, '["“”][^"“”]*[^"“” ][^"“”]*["“”]') AS quotes, {_stands('t', _SQL_SPEECH)} AS asr, {_stands('t', _SQL_METADATA)} AS metadata,
+      {_stands('t', _SQL_EXACT)} AS exact, regexp_matches(t, '{_SQL_CONTENT}') AS content, {_stands('t', _SQL_VISUAL)} AS seen FROM t),
+r AS (SELECT *, phone OR car OR person OR bicycle AS objects, said_text OR quotes AS ocr FROM f),
+p AS (SELECT *, ocr OR metadata OR exact AS lexical, asr OR content AS semantic FROM r),
+v AS (SELECT *, objects OR attributes OR seen OR NOT (lexical OR semantic) AS visual FROM p)
+"""
 
 
-def _parts(col: str, markers: tuple[str, ...]) -> str:
-    return "(" + " OR ".join(f"contains({col}, '{m}')" for m in markers) + ")"
+@registry(f"""
+SELECT item_id, CASE WHEN regexp_matches(t, 'channel id') THEN 'metadata' WHEN regexp_matches(t, 'channel') THEN 'metadata' WHEN regexp_matches(t, 'bao nhiêu|how many|mấy |số lượng|number of') THEN 'count'
+  WHEN regexp_matches(t, 'trước|sau|tiếp theo|before|after|next') THEN 'temporal' WHEN regexp_matches(t, 'nói gì|phát biểu|nhắc đến|lời thoại|what does|say|speak') THEN 'asr'
+  WHEN regexp_matches(t, 'ghi gì|viết gì|chữ|biển hiệu|logo|text|sign') THEN 'ocr' WHEN regexp_matches(t, 'kênh nào|tác giả|đăng ngày|tiêu đề|author|published|title') THEN 'metadata'
+  WHEN regexp_matches(t, 'màu|color|colour') THEN 'attribute_color' WHEN regexp_matches(t, 'cầm gì|vật gì|đối tượng|what is|what object|holding') THEN 'object'
+  WHEN regexp_matches(t, 'ai|ở đâu|mặc|trông|who is|where is') THEN 'visual' ELSE 'unknown' END AS question_type,
+  CASE WHEN regexp_matches(t, 'channel id') THEN 'channel_id' WHEN regexp_matches(t, 'channel') THEN 'author' END AS answer_field FROM ({_QUERY})""")
+def question_types(spark: SparkSession, sf: str) -> DataFrame:
+    route = planner.question_route(F.col("query_text"))
+    return table(spark, sf, "eval_items").select("item_id", route["question_type"].alias("question_type"), route["answer_field"].alias("answer_field"))
 
 
-@registry(f"""
-WITH t AS (SELECT item_id, query_text, trim(regexp_replace(lower(query_text), '\\s+', ' ', 'g')) AS t FROM eval_items),
-f AS (SELECT item_id, {_words('t', planner.COLORS)} AS attributes, {_words('t', T.TEXT_MARKERS)} OR regexp_matches(query_text, '["“”][^"“”]*[^"“” ][^"“”]*["“”]') AS ocr,
-      {_words('t', planner.SPEECH_MARKERS)} AS asr, {_words('t', planner.METADATA_MARKERS)} AS metadata, {_words('t', planner.EXACT_MARKERS)} AS exact,
-      {_parts('t', planner.CONTENT_MARKERS)} AS content, {_words('t', planner.VISUAL_MARKERS)} AS visual FROM t),
-r AS (SELECT *, ocr OR metadata OR exact AS lexical, asr OR content AS semantic FROM f)
-SELECT item_id, concat_ws(',', 'clip', CASE WHEN attributes THEN 'attributes' END, CASE WHEN ocr THEN 'ocr' END, CASE WHEN asr THEN 'asr' END, CASE WHEN metadata THEN 'metadata' END) AS modalities,
-       concat_ws(',', CASE WHEN attributes OR visual OR NOT (lexical OR semantic) THEN 'clip' END, CASE WHEN semantic THEN 'bge' END, CASE WHEN lexical THEN 'bm25' END) AS routes FROM r""")
+@registry(_SQL_PLAN + """
+SELECT item_id, concat_ws(',', 'clip', CASE WHEN objects THEN 'objects' END, CASE WHEN attributes THEN 'attributes' END, CASE WHEN ocr THEN 'ocr' END, CASE WHEN asr THEN 'asr' END, CASE WHEN metadata THEN 'metadata' END) AS modalities,
+  concat_ws(',', CASE WHEN visual THEN 'clip' END, CASE WHEN semantic THEN 'bge' END, CASE WHEN lexical THEN 'bm25' END) AS routes,
+  CASE WHEN visual::INT + semantic::INT + lexical::INT > 1 THEN 'mixed' WHEN visual THEN 'visual' WHEN semantic THEN 'semantic_text' ELSE 'lexical_text' END AS intent,
+  concat_ws(',', CASE WHEN phone THEN 'phone' END, CASE WHEN car THEN 'car' END, CASE WHEN person THEN 'person' END, CASE WHEN bicycle THEN 'bicycle' END) AS objects FROM v""")
 def query_routes(spark: SparkSession, sf: str) -> DataFrame:
-    return planner.plan_queries(table(spark, sf, "eval_items")).select("item_id", "modalities", "routes")
+    p = planner.plan_queries(table(spark, sf, "eval_items"))
+    return p.select("item_id", F.array_join("modalities", ",").alias("modalities"), F.array_join("routes", ",").alias("routes"), "intent", F.array_join("objects", ",").alias("objects"))
 
 
-@registry()
+@registry(_SQL_PLAN + """
+SELECT item_id, CASE WHEN semantic OR lexical THEN concat_ws(',', CASE WHEN asr THEN 'asr' END, CASE WHEN ocr AND (said_text OR NOT asr) THEN 'ocr' END, CASE WHEN metadata THEN 'metadata' END) ELSE '' END AS source_filters,
+  concat_ws(',', CASE WHEN asr THEN 'ASR_PARTIAL' END, CASE WHEN ocr AND (said_text OR NOT asr) THEN 'OCR_UNAVAILABLE' END) AS warnings,
+  concat_ws('_', CASE WHEN visual THEN 'clip' END, CASE WHEN semantic THEN 'bge' END, CASE WHEN lexical THEN 'bm25' END) || CASE WHEN visual::INT + semantic::INT + lexical::INT > 1 THEN '_rrf' ELSE '' END AS profile FROM v""")
+def query_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Kinds of documents each query is limited to, and what a corpus with little speech and no on-screen text lacks."""
+    p = planner.plan_queries(table(spark, sf, "eval_items"), coverage=planner.Coverage(asr_segments=563, asr_videos=2, total_videos=873))
+    return p.select("item_id", F.array_join("source_filters", ",").alias("source_filters"), F.array_join("warnings", ",").alias("warnings"), "profile")
+
+
+def _listed(column: str, phrases: str) -> str:
+    return f"array_to_string(list_filter(string_split('{phrases}', '|'), lambda m: regexp_matches({column}, '(^|{_EDGE})' || m || '($|{_EDGE})')), ',')"
+
+
+@registry(f"""SELECT item_id, {_listed('t', _SQL_TEXT + '|' + _SQL_SPEECH)} AS text_hints, {_listed('t', _SQL_METADATA)} AS metadata_hints,
+  {_listed('t', 'trước|sau|sau đó|tiếp theo|cuối cùng|before|after|then|finally')} AS temporal_hints FROM ({_QUERY})""")
+def query_hints(spark: SparkSession, sf: str) -> DataFrame:
+    p = planner.plan_queries(table(spark, sf, "eval_items"))
+    return p.select("item_id", *[F.array_join(c, ",").alias(c) for c in ("text_hints", "metadata_hints", "temporal_hints")])
+
+
+_ENDS = f"(^|{_EDGE})(sau đó|tiếp theo|cuối cùng|rồi|then|after that|finally)($|{_EDGE})"
+
+
+@registry(f"""
+WITH q AS ({_QUERY}),
+e AS (SELECT item_id, t, query_text, list_transform(regexp_split_to_array(regexp_replace(regexp_replace(t, '{_ENDS}', '\\1;\\3', 'g'), '{_ENDS}', '\\1;\\3', 'g'), '[.!?;]+\\s*'), lambda p: trim(regexp_replace(trim(p, ' ,.;:-'), '\\s+', ' ', 'g'))) AS p FROM q),
+k AS (SELECT item_id, t, query_text, list_filter(p, lambda x: length(x) >= 8) AS p FROM e),
+u AS (SELECT item_id, t, query_text, list_filter(p, lambda x, i: list_position(p, x) = i)[1:5] AS p FROM k),
+s AS (SELECT *, trim(regexp_replace(trim(query_text), '(?is)(?:[.!?]\\s*)?(?:hỏi|hãy cho biết|cho biết|question).*$', ''), ' ,.;:-') AS scene FROM u)
+SELECT item_id, CASE WHEN len(p) > 0 THEN array_to_string(p, ' | ') ELSE t END AS events, CASE WHEN scene <> '' THEN scene ELSE trim(query_text) END AS scene FROM s""")
 def query_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Moments, variants and scene of each query; Java's word boundaries and case rules have no exact SQL form, tested on fixtures."""
+    """Moments and scene of each query."""
     t = F.col("query_text")
-    return table(spark, sf, "eval_items").select(
-        "item_id", F.array_join(T.split_events(T.planner_normalize(t)), " | ").alias("events"), F.array_join(T.query_variants(t), " | ").alias("variants"), T.question_scene(t).alias("scene")
-    )
+    return table(spark, sf, "eval_items").select("item_id", F.array_join(T.split_events(T.planner_normalize(t)), " | ").alias("events"), T.question_scene(t).alias("scene"))
+
+
+@registry()
+def query_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Other ways to ask each query; word boundaries of all scripts and the removal of markers one by one have no exact SQL form, tested on fixtures."""
+    p = planner.plan_queries(table(spark, sf, "eval_items"), max_variants=5)
+    return p.select("item_id", "visual_query", F.array_join("variants", " | ").alias("variants"), F.array_join(T.query_variants(F.col("query_text")), " | ").alias("substitutions"))
+
+
+@registry()
+def sequence_plans(spark: SparkSession, sf: str) -> DataFrame:
+    """Moments of each query with what they need, show and do; tested on fixtures."""
+    e = planner.sequence_events(table(spark, sf, "eval_items").withColumn("query_id", F.col("item_id")), default_gap=60.0)
+    return e.withColumns({c: F.array_join(c, ",") for c in ("modalities", "terms", "variants", "warnings")})
 
 
 @registry("""SELECT doc_id, source_type || ':' || substring(sha256('{"doc_id":"' || doc_id || '","field":' || CASE WHEN source_field IS NULL THEN 'null' ELSE '"' || source_field || '"' END || ',"video_id":' || CASE WHEN video_id IS NULL THEN 'null' ELSE '"' || video_id || '"' END || '}'), 1, 24) AS document_key FROM documents""")
@@ -241,8 +348,6 @@ SELECT asr_id, round(CASE WHEN len(list_distinct(k || nk)) > 0 THEN len(list_int
 @registry(_JACCARD)
 def adjacent_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Token overlap of each speech segment with the next one of its video."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("video_id").orderBy("segment_id", "asr_id")
     a = table(spark, sf, "asr").withColumn("k", T.scoring_tokens(F.col("text_raw"))).withColumn("nk", F.lead("k").over(w)).filter("k IS NOT NULL AND nk IS NOT NULL")
     both = F.size(F.array_union("k", "nk"))
