@@ -43,7 +43,7 @@ def test_writers(spark, tmp_path):
     writers.publish(df, target, lambda d: d.count() == 5)
     with pytest.raises(ValueError):
         writers.publish(df.limit(1), target, lambda d: d.count() == 5)
-    assert spark.read.parquet(target).count() == 5
+    assert writers.published(spark, target).count() == 5
     assert writers.resume(df, str(tmp_path / "r"), "id") == 5
     assert writers.resume(spark.range(8).withColumn("g", F.lit(1).cast("long")), str(tmp_path / "r"), "id") == 8
     writers.replace_partitions(df, str(tmp_path / "p"), ["g"])

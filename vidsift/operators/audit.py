@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vidsift.functions.text import VIDEO_ID_PATTERN
+
 Rule = tuple[str, str, Column]
 
 
@@ -62,3 +64,52 @@ def bucketed(distance: Column, edges: Sequence[float] = (0.25, 0.5, 1, 2, 3, 5))
 def expected_minimum(counts: Mapping[str, int], found: Mapping[str, int]) -> dict[str, str]:
     """OK where a count reaches what is expected, MISSING where it is 0, else WARNING."""
     return {k: "OK" if found.get(k, 0) >= v else "MISSING" if not found.get(k) else "WARNING" for k, v in counts.items()}
+
+
+QUESTION_TYPES = ("ocr", "asr", "metadata", "object", "attribute_color", "count", "temporal", "visual")
+MODALITIES = ("keyframe", "ocr", "asr", "metadata", "object", "attribute", "temporal")
+
+
+def annotation_rules(longest_answer: int = 100) -> list[Rule]:
+    """Rules of labelled questions (query_id, query_text, question_type, expected_videos, expected_answers, modalities, time_ranges,
+    annotator, annotated_at, answerable); ranges are arrays of structs (start, end)."""
+    c = F.col
+    empty = lambda x: F.coalesce(F.size(x), F.lit(0)) <= 0
+    answerable = F.coalesce(c("answerable"), F.lit(True))
+    blank = lambda x: F.coalesce(F.trim(c(x)), F.lit("")) == ""
+    return [
+        ("QUERY_ID_REQUIRED", "ERROR", blank("query_id")),
+        ("QUERY_TEXT_REQUIRED", "ERROR", blank("query_text")),
+        ("UNSUPPORTED_QUESTION_TYPE", "ERROR", ~F.coalesce(c("question_type").isin(*QUESTION_TYPES), F.lit(False))),
+        ("EXPECTED_VIDEO_REQUIRED", "ERROR", answerable & empty("expected_videos")),
+        ("INVALID_VIDEO_ID", "ERROR", F.exists("expected_videos", lambda v: ~F.coalesce(v.rlike(VIDEO_ID_PATTERN), F.lit(False)))),
+        ("EXPECTED_ANSWER_REQUIRED", "ERROR", answerable & empty(F.filter("expected_answers", lambda a: F.trim(a) != ""))),
+        ("ANSWER_TOO_LONG", "ERROR", F.exists("expected_answers", lambda a: F.length(F.trim(a)) > longest_answer)),
+        ("KEYFRAME_EVIDENCE_REQUIRED", "ERROR", answerable & ~F.coalesce(F.array_contains("modalities", "keyframe"), F.lit(False))),
+        ("UNSUPPORTED_MODALITY", "ERROR", F.size(F.array_except("modalities", F.array(*[F.lit(m) for m in MODALITIES]))) > 0),
+        ("INVALID_RANGE", "ERROR", F.exists("time_ranges", lambda r: ~F.coalesce((r["start"] >= 0) & (r["end"] >= r["start"]), F.lit(False)))),
+        ("RANGE_REQUIRED", "ERROR", answerable & empty("time_ranges")),
+        ("ANNOTATOR_REQUIRED", "ERROR", blank("annotator") | c("annotated_at").isNull()),
+    ]
+
+
+def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that occur more than once, with how often."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+
+
+def staleness(stated: DataFrame, found: DataFrame, keys: Sequence[str], fingerprint: str) -> DataFrame:
+    """keys, status of each artifact a manifest states or that exists: READY where the fingerprints agree, STALE where they differ,
+    MISSING where it doesn't exist, UNLISTED where no manifest states it."""
+    a = stated.select(*keys, F.col(fingerprint).alias("__stated"), F.lit(True).alias("__a"))
+    b = found.select(*keys, F.col(fingerprint).alias("__found"), F.lit(True).alias("__b"))
+    j = a.join(b, list(keys), "full")
+    status = F.when(F.col("__a").isNull(), "UNLISTED").when(F.col("__b").isNull(), "MISSING").when(F.col("__stated").eqNullSafe(F.col("__found")), "READY").otherwise("STALE")
+    return j.select(*keys, status.alias("status"))
+
+
+def store_audit(df: DataFrame, time: str, confidence: str, text: str) -> DataFrame:
+    """One row of an evidence table's health: rows, videos, rows without a frame, without text, with a confidence out of range, before zero."""
+    c = F.col
+    bad = c(confidence).isNull() | F.isnan(confidence) | ~c(confidence).between(0.0, 1.0)
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("video_id").alias("videos"), F.count_if(c("keyframe_id").isNull()).alias("no_frame"), F.count_if(F.coalesce(F.trim(c(text)), F.lit("")) == "").alias("no_text"), F.count_if(bad).alias("bad_confidence"), F.count_if(c(time) < 0).alias("negative_time"))

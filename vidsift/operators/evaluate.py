@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,3 +106,53 @@ def interval_hits(found: DataFrame, tolerances: Sequence[float]) -> DataFrame:
 def same_results(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that only one of two runs has: none where a query is deterministic."""
     return a.exceptAll(b).withColumn("side", F.lit("first")).unionByName(b.exceptAll(a).withColumn("side", F.lit("second")))
+
+
+def review_metrics(reviews: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rates of reviewed answers (decision, confirmed, evidence_ids, frame, frame_from, frame_to): edited and rejected of those with a
+    decision, with evidence of those confirmed, frames within the accepted range of those that have one. Null where nothing is known."""
+    c = F.col
+    share = lambda hit, known: F.round(F.avg(F.when(known, F.coalesce(hit, F.lit(False)).cast("double"))), 6)
+    decided, ranged = c("decision").isNotNull(), c("frame_from").isNotNull() & c("frame_to").isNotNull()
+    backed = F.coalesce(F.size("evidence_ids"), F.lit(0)) > 0
+    return reviews.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("answers"), share(c("decision") == "EDITED", decided).alias("edit_rate"), share(c("decision") == "REJECTED", decided).alias("reject_rate"),
+        share(backed, c("confirmed")).alias("evidence_coverage"), share(~backed, c("confirmed")).alias("unsupported_rate"), share(c("frame").between(c("frame_from"), c("frame_to")), ranged).alias("frame_accuracy"),
+    )
+
+
+def failure_stage(session: Column, event_recall: Column, video_in_top: Column, has_chain: Column, right_video: Column, required_share: Column, worst_error: Column, most_error: float = 5.0) -> Column:
+    """Where a request was lost, the first that holds; null where it wasn't: no session, an event lost among the first hundred, the
+    video not among the first twenty, no chain, a chain of another video, a required event missing, a moment too far off."""
+    ok = lambda c: F.coalesce(c, F.lit(False))
+    return (
+        F.when(~ok(session), "SESSION_NOT_PERSISTED").when(ok(event_recall < 1.0), "EVENT_RECALL_FAILURE").when(~ok(video_in_top), "VIDEO_RECALL_FAILURE").when(~ok(has_chain), "TEMPORAL_FEASIBILITY_FAILURE")
+        .when(~ok(right_video), "WRONG_VIDEO").when(ok(required_share < 1.0), "REQUIRED_EVENT_MISSING").when(ok(worst_error > most_error), "FRAME_GRANULARITY_FAILURE")
+    )
+
+
+def alignment_metrics(requests: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Requests (event_recall, right_video, has_chain, required_share, worst_error, stage): recalls, the share of complete chains of the
+    right video, the mean of the worst errors, and how many got through."""
+    c = F.col
+    good = c("has_chain") & c("right_video") & (c("required_share") >= 1.0)
+    mean = lambda x: F.round(F.avg(x), 6)
+    return requests.groupBy(*by).agg(F.count(F.lit(1)).alias("requests"), mean("event_recall").alias("event_recall"), mean(F.coalesce(c("right_video"), F.lit(False)).cast("double")).alias("video_recall"), mean(F.coalesce(good, F.lit(False)).cast("double")).alias("chain_success"), mean("worst_error").alias("timestamp_error"), F.count_if(c("stage").isNull()).alias("passed"))
+
+
+def ablations(hits: DataFrame, configurations: Mapping[str, Mapping[str, float]], relevant: DataFrame, k: int = 60) -> DataFrame:
+    """Each configuration of channel weights on the same hits, in one pass: configuration, queries, mrr, hit_1, top_video_rank.
+
+    hits: query_id, channel, rank, video_id; relevant: query_id, video_id. A configuration is one more key of the fusion, so
+    its number adds rows, not jobs; channels it doesn't name don't count.
+    """
+    rows = [(name, channel, float(w)) for name, weights in configurations.items() for channel, w in weights.items() if w > 0]
+    table = F.broadcast(hits.sparkSession.createDataFrame(rows, "configuration string, channel string, weight double"))  # as many rows as are written in the code
+    one = hits.groupBy("query_id", "channel", "video_id").agg(F.min("rank").alias("rank"))
+    ranked = one.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "channel").orderBy("rank", "video_id")))
+    scored = ranked.join(table, "channel").groupBy("configuration", "query_id", "video_id").agg(F.round(F.sum(F.col("weight") / (k + F.col("r"))), 9).alias("s"))
+    placed = scored.withColumn("p", F.row_number().over(Window.partitionBy("configuration", "query_id").orderBy(F.col("s").desc(), "video_id")))
+    asked = relevant.select("query_id").distinct().crossJoin(F.broadcast(table.select("configuration").distinct()))
+    first = placed.join(relevant, ["query_id", "video_id"]).groupBy("configuration", "query_id").agg(F.min("p").alias("first"))
+    rr = asked.join(first, ["configuration", "query_id"], "left")
+    return rr.groupBy("configuration").agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg((F.coalesce("first", F.lit(0)) == 1).cast("double")), 6).alias("hit_1"))

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vidsift.functions.vectors import cosine
-from vidsift.operators.ranking import by_score, rank_by
+from vidsift.operators.ranking import by_score, rank_by, spaced
 from vidsift.operators.temporal import asof_nearest
 
 MOST_MAPPING_SECONDS = 5.0
+#: Seconds between the anchors around which frames are looked at closely.
+ANCHOR_GAP = 1.0
 
 
 def localised(seeds: DataFrame, frames: DataFrame, queries: DataFrame, radius: float, top: int | None = None) -> DataFrame:
@@ -26,6 +28,55 @@ def localised(seeds: DataFrame, frames: DataFrame, queries: DataFrame, radius: f
     return rank_by(one, ["query_id", "video_id"], [by_score("score"), F.col("keyframe_id")], "rank", top)
 
 
+def localised_spaced(seeds: DataFrame, frames: DataFrame, queries: DataFrame, radius: float, gap: float, keep: int) -> DataFrame:
+    """`localised`, then of each video `keep` frames that lie `gap` seconds apart, the best first: adds is_spaced, spaced_rank."""
+    return spaced(localised(seeds, frames, queries, radius), ["query_id", "video_id"], "t", "rank", gap, keep)
+
+
+def _near(rows: DataFrame, centres: DataFrame, keys: list[str], reach: float) -> DataFrame:
+    """Rows (keys, t) within `reach` of a centre (keys, at) of theirs, each once; joined by time bins."""
+    cell = lambda c: F.floor(F.col(c) / reach).cast("long")
+    c = centres.withColumn("cell", F.explode(F.sequence(cell("at") - 1, cell("at") + 1)))
+    return rows.withColumn("cell", cell("t")).join(c, [*keys, "cell"]).filter(F.abs(F.col("t") - F.col("at")) <= reach).select(*rows.columns).distinct()
+
+
+def two_stage(coarse: DataFrame, fine: DataFrame, keys: list[str], *, anchors: int, window: float, gap: float, keep: int, fps: float) -> DataFrame:
+    """Frames of a video in two stages from tables of scored times (keys, t, score): keys, frame_idx, t, score, is_spaced, rank.
+
+    The best coarse times that lie ANCHOR_GAP apart are anchors (`anchors` at most); fine times within `window` of one join
+    them. A frame number counts once, with its best score; of these, `keep` that lie `gap` apart, the best first, filled up by rank.
+    The scores come from a decoder and a model elsewhere; null scores don't count.
+    """
+    order = [by_score("score"), F.col("t")]
+    c = coarse.filter(F.col("score").isNotNull()).select(*keys, F.col("t").cast("double").alias("t"), F.col("score").cast("double").alias("score"))
+    f = fine.filter(F.col("score").isNotNull()).select(*keys, F.col("t").cast("double").alias("t"), F.col("score").cast("double").alias("score"))
+    picked = spaced(rank_by(c.dropDuplicates([*keys, "t", "score"]), keys, order, "__r"), keys, "t", "__r", ANCHOR_GAP, anchors).filter("is_spaced")
+    both = c.unionByName(_near(f, picked.select(*keys, F.col("t").alias("at")), keys, window))
+    once = both.groupBy(*keys, F.bround(F.col("t") * fps, 0).cast("long").alias("frame_idx")).agg(F.max(F.struct("score", (-F.col("t")).alias("n"))).alias("b")).select(*keys, "frame_idx", (-F.col("b.n")).alias("t"), F.col("b.score").alias("score"))
+    ranked = spaced(rank_by(once, keys, [*order, F.col("frame_idx")], "__r"), keys, "t", "__r", gap, keep)
+    return ranked.select(*keys, "frame_idx", "t", "score", "is_spaced", F.col("spaced_rank").alias("rank"))
+
+
+def refined_events(coarse: DataFrame, fine: DataFrame, keys: list[str], window: float, fps: float) -> DataFrame:
+    """The best moment of an event: the best coarse time, then the best fine time within `window` of it (earlier ones first):
+    keys, coarse_t, t, score, frame_idx; t is null where no fine time is near."""
+    best = lambda df, name: df.filter(F.col("score").isNotNull()).groupBy(*keys).agg(F.max(F.struct(F.round("score", 9).alias("s"), (-F.col("t")).alias("n"))).alias("b")).select(*keys, (-F.col("b.n")).alias(name), F.col("b.s").alias(f"{name}_score"))
+    rough = best(coarse, "coarse_t")
+    near = fine.join(rough.select(*keys, "coarse_t"), keys).filter(F.abs(F.col("t") - F.col("coarse_t")) <= window)
+    exact = best(near.select(*keys, "t", "score"), "t")
+    return rough.join(exact, keys, "left").select(*keys, "coarse_t", "t", F.col("t_score").alias("score"), F.bround(F.col("t") * fps, 0).cast("long").alias("frame_idx"))
+
+
+def dense_candidates(events: DataFrame, scores: DataFrame, shift: float, top: int = 12) -> DataFrame:
+    """For each chosen moment (video_id, event_id, at) the `top` best scored times (video_id, event_id, t, score) within `shift`
+    seconds: video_id, event_id, at, t, score, rank."""
+    keys = ["video_id", "event_id"]
+    cell = lambda c: F.floor(F.col(c) / shift).cast("long")
+    e = events.select(*keys, "at").distinct().withColumn("cell", F.explode(F.sequence(cell("at") - 1, cell("at") + 1)))
+    near = scores.filter(F.col("score").isNotNull()).withColumn("cell", cell("t")).join(e, [*keys, "cell"]).filter(F.abs(F.col("t") - F.col("at")) <= shift)
+    return rank_by(near.select(*keys, "at", "t", "score").distinct(), [*keys, "at"], [by_score("score"), F.col("t")], "rank", top)
+
+
 def sampling_times(start: Column, end: Column, fps: float, limit: int) -> Column:
     """Times from start on at fps, `limit` at most, not before 0."""
     first = F.greatest(start, F.lit(0.0))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,7 +56,7 @@ def first_per_video(hits: DataFrame, query: str = "query_id", video: str = "vide
     """One hit per video, its first in order, ranked anew: entity ranks for fusion."""
     one = rank_by(hits, [query, video], [F.col(c) for c in order], "__n", 1).drop("__n")
     names = [c for c in order if c != rank]
-    return rank_by(one.withColumnRenamed(rank, "__old"), [query], [F.col("__old"), *[F.col(c) for c in (video, *names) if c != video or True]], rank).drop("__old")
+    return rank_by(one.withColumnRenamed(rank, "__old"), [query], [F.col("__old"), *[F.col(c) for c in (video, *names)]], rank).drop("__old")
 
 
 def suppress_texts(hits: DataFrame, text: str, per_text: int = 1, per_video: int = 4, limit: int | None = None, query: str = "query_id", video: str = "video_id", rank: str = "rank") -> DataFrame:
@@ -99,30 +98,29 @@ def neighbours(df: DataFrame, partition: Sequence[str], order: Sequence[str], ke
     return df.withColumn(name, F.collect_list(key).over(w))
 
 
-def spaced(df: DataFrame, partition: Sequence[str], time: str, rank: str, gap: float, keep: int, most: int = 1000) -> DataFrame:
+def spaced(df: DataFrame, partition: Sequence[str], time: str, rank: str, gap: float, keep: int) -> DataFrame:
     """Greedy choice in rank order: a row is taken if it lies `gap` or more from all taken; then rejected rows fill up to `keep`.
 
-    Only the first `most` rows of a partition are looked at (a candidate pool, bounded by definition).
+    The columns of df, is_spaced, spaced_rank (long). Every row is looked at, in a fold over each partition's (rank, time)
+    pairs that keeps `keep` of them; the rows are fetched by their rank, which must be unique in its partition. A row
+    without a time is never taken, but may fill up.
     """
-    pool = rank_by(df, partition, [F.col(rank)], "__n", most).drop("__n")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(rank)
-        taken: list[float] = []
-        chosen = []
-        for t in pdf[time]:
-            ok = len(taken) < keep and all(abs(t - x) >= gap for x in taken)
-            chosen.append(ok)
-            if ok:
-                taken.append(t)
-        pdf = pdf.assign(is_spaced=chosen)
-        rest = keep - len(taken)
-        fill = pdf[~pdf["is_spaced"]].head(max(rest, 0))
-        out = pd.concat([pdf[pdf["is_spaced"]], fill])
-        return out.assign(spaced_rank=range(1, len(out) + 1))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pool.schema.fields) + ", is_spaced boolean, spaced_rank long"
-    return pool.groupBy(*partition).applyInPandas(choose, schema)
+    pair = F.struct(F.col(rank).alias("r"), F.col(time).cast("double").alias("t"))
+    listed = df.groupBy(*partition).agg(F.array_sort(F.collect_list(pair)).alias("all"))
+    none = F.slice("all", 1, 0)
+
+    def step(s: Column, x: Column) -> Column:
+        far = F.coalesce(F.forall(s["taken"], lambda k: F.abs(k["t"] - x["t"]) >= gap) & x["t"].isNotNull(), F.lit(False))
+        takes = (F.size(s["taken"]) < keep) & far
+        return F.struct(F.when(takes, F.array_append(s["taken"], x)).otherwise(s["taken"]).alias("taken"), F.when(takes | (F.size(s["rest"]) >= keep), s["rest"]).otherwise(F.array_append(s["rest"], x)).alias("rest"))
+
+    state = F.aggregate("all", F.struct(none.alias("taken"), none.alias("rest")), step)
+    chosen = listed.select(*partition, state.alias("s"))
+    fill = F.slice("s.rest", F.lit(1), F.greatest(F.lit(keep) - F.size("s.taken"), F.lit(0)))
+    marked = lambda c, flag: F.transform(c, lambda x: F.struct(x["r"].alias("r"), F.lit(flag).alias("is_spaced")))
+    rows = chosen.select(*partition, F.posexplode(F.concat(marked("s.taken", True), marked(fill, False))).alias("__at", "x"))
+    rows = rows.select(*partition, F.col("x.r").alias(rank), "x.is_spaced", (F.col("__at") + 1).cast("long").alias("spaced_rank"))
+    return df.join(rows, [*partition, rank])
 
 
 def rescue(fused: DataFrame, lanes: DataFrame, sequence: DataFrame, window: int, head: int = 3, lane_depth: int = 8) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vidsift.functions.text import normalize, picked_confidence
 from vidsift.functions.vectors import valid_box
 
 MAPPING = "n int, pts_time double, fps double, frame_idx long"
@@ -19,6 +20,17 @@ OCR_LINES = "video_id string, keyframe_id int, frame_idx long, pts_time double,
 ASR_LINES = "video_id string, status string, duration double, segments array<struct<id int, start double, end double, text string, confidence double>>"
 
 
+#: More than any header of a matrix takes.
+HEADER_BYTES = 4_096
+#: A stored polygon where none is given: the whole image.
+WHOLE_IMAGE = "[[0.0,0.0],[1.0,0.0],[1.0,1.0],[0.0,1.0]]"
+CONSOLIDATED = (
+    "schema_version string, collection_id string, video_id string, keyframe_id string, timestamp_ms double, frame_number long, status string, image struct<width double, height double>, "
+    "retrieval_text string, processing_config_sha256 string, "
+    "retrieval_detections array<struct<text string, score double, recognizer_confidence double, detector_confidence double, bbox array<double>, polygon array<array<double>>>>"
+)
+
+
 def _id_of(path):
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]+)?$", 1)
 
@@ -67,6 +79,31 @@ def asr_lines(spark: SparkSession, path: str) -> DataFrame:
     return d.select("video_id", F.explode("segments").alias("x")).select("video_id", F.col("x.id").alias("segment_id"), F.col("x.start").alias("start_time"), F.col("x.end").alias("end_time"), F.col("x.text").alias("text_raw"), "x.confidence")
 
 
+def npy_headers(spark: SparkSession, path: str) -> DataFrame:
+    """video_id, rows, dims, dtype of the matrices in .npy files, from their first bytes: the values aren't read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", True).load(path).select("path")
+
+    def head(p: str) -> bytes:
+        from pyarrow import fs
+
+        where, name = fs.FileSystem.from_uri(p) if "://" in p or p.startswith("file:") else (fs.LocalFileSystem(), p)
+        with where.open_input_file(name) as f:
+            return f.read(HEADER_BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for p in batch.column(0).to_pylist():
+                f = io.BytesIO(head(p))
+                version = np.lib.format.read_magic(f)
+                shape, _, dtype = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
+                out.append((p, shape[0] if shape else 0, shape[1] if len(shape) > 1 else 1, str(dtype)))
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())], ["path", "rows", "dims", "dtype"])
+
+    return files.mapInArrow(run, "path string, rows long, dims int, dtype string").select(_id_of(F.col("path")).alias("video_id"), "rows", "dims", "dtype")
+
+
 def npy_vectors(spark: SparkSession, path: str) -> DataFrame:
     """video_id, feature_row, clip_feature of matrices in .npy files; one file is one task's input at a time."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", True).load(path)
@@ -80,3 +117,47 @@ def npy_vectors(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([video] * len(part)), pa.array(range(a, a + len(part)), pa.int32()), pa.array(list(part), pa.list_(pa.float32()))], ["video_id", "feature_row", "clip_feature"])
 
     return files.select(_id_of(F.col("path")).alias("video_id"), "content").mapInArrow(run, "video_id string, feature_row int, clip_feature array<float>")
+
+
+def _polygon(points, bbox, width, height):
+    """Four corners by the image's size, within 0..1, six decimals, as JSON; from the box where there's no polygon, else the whole image."""
+    corner = lambda i, j: F.array(bbox[i], bbox[j])
+    four = F.when(F.size(points) == 4, points).when(F.size(bbox) == 4, F.array(corner(0, 1), corner(2, 1), corner(2, 3), corner(0, 3)))
+    inside = lambda x, size: F.round(F.least(F.greatest(x / size, F.lit(0.0)), F.lit(1.0)), 6)
+    scaled = F.transform(four, lambda p: F.array(inside(p[0], width), inside(p[1], height)))
+    whole = F.forall(four, lambda p: F.size(p) == 2) & (width > 0) & (height > 0)
+    return F.when(F.coalesce(whole, F.lit(False)), F.to_json(scaled)).otherwise(F.lit(WHOLE_IMAGE))
+
+
+def consolidated_ocr(spark: SparkSession, path: str, group: str) -> tuple[DataFrame, DataFrame]:
+    """On-screen texts of consolidated OCR lines of one group, and how many lines were left out and why.
+
+    Texts: video_id, source_keyframe_id, source_frame_idx (stated, else from the id), source_pts_time, source_status, text,
+    confidence (score, else recogniser, else detector, else 1), bbox_json, run_id, is_reviewed. A reviewed text that differs
+    from the detected ones together counts as a further text over the whole image. Texts that agree in letters and place count
+    once a frame. Lines that don't parse, or whose group and video don't fit, are counted (reason, lines), not fatal.
+    """
+    raw = spark.read.schema(CONSOLIDATED + ", _corrupt_record string").json(path, mode="PERMISSIVE")
+    c = F.col
+    fits = F.coalesce((c("collection_id") == group) & c("video_id").startswith(f"{group}_") & c("keyframe_id").isNotNull(), F.lit(False))
+    reason = F.when(c("_corrupt_record").isNotNull(), "NOT_PARSED").when(~fits, "IDENTITY_MISMATCH")
+    d = raw.withColumn("reason", reason)
+    left = d.filter(c("reason").isNotNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("lines"))
+    good = d.filter(c("reason").isNull())
+    width, height = F.coalesce("image.width", F.lit(1280.0)), F.coalesce("image.height", F.lit(720.0))
+    text = lambda x: F.trim(F.coalesce(x, F.lit("")))
+    item = lambda t, conf, box, reviewed: F.struct(t.alias("text"), conf.alias("confidence"), box.alias("bbox_json"), F.lit(reviewed).alias("is_reviewed"))
+    found = F.filter(F.coalesce("retrieval_detections", F.lit(None).cast(good.schema["retrieval_detections"].dataType)), lambda x: text(x["text"]) != "")
+    own = F.coalesce(F.transform(found, lambda x: item(text(x["text"]), picked_confidence(x["score"], x["recognizer_confidence"], x["detector_confidence"]), _polygon(x["polygon"], x["bbox"], width, height), False)), F.array().cast("array<struct<text string, confidence double, bbox_json string, is_reviewed boolean>>"))
+    detected = normalize(F.array_join(F.transform(own, lambda x: x["text"]), " "))
+    reviewed = text(c("retrieval_text"))
+    extra = F.when((reviewed != "") & (normalize(reviewed) != detected), F.array(item(reviewed, F.lit(1.0), F.lit(WHOLE_IMAGE), True)))
+    rows = good.select(
+        "video_id", c("keyframe_id").alias("source_keyframe_id"), F.coalesce("frame_number", F.expr(r"try_cast(nullif(regexp_extract(keyframe_id, '_F(\\d+)$', 1), '') AS BIGINT)")).alias("source_frame_idx"),
+        (c("timestamp_ms") / 1000.0).alias("source_pts_time"), F.coalesce("status", F.lit("unknown")).alias("source_status"),
+        F.concat_ws(":", F.coalesce("schema_version", F.lit("ocr-keyframe-v2")), F.substring(F.coalesce("processing_config_sha256", F.lit("unknown")), 1, 12)).alias("run_id"),
+        F.posexplode(F.concat(own, F.coalesce(extra, F.array().cast("array<struct<text string, confidence double, bbox_json string, is_reviewed boolean>>")))).alias("at", "x"),
+    )
+    keys = ["video_id", "source_keyframe_id", "source_frame_idx", "source_pts_time", "source_status", "run_id"]
+    once = rows.groupBy(*keys, normalize(c("x.text")).alias("__n"), c("x.bbox_json").alias("__b")).agg(F.min(F.struct("at", "x")).alias("m"))
+    return once.select(*keys, "m.x.text", "m.x.confidence", "m.x.bbox_json", "m.x.is_reviewed"), left
