@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vidsift.plans import evidence_queries, frame_queries, relational_queries, sequence_queries, text_queries, vector_queries
+from vidsift.plans import evidence_queries, frame_queries, relational_queries, review_queries, sequence_queries, text_queries, vector_queries
 from vidsift.registry import Query
 
-MODULES = (vector_queries, text_queries, evidence_queries, sequence_queries, frame_queries, relational_queries)
+MODULES = (vector_queries, text_queries, evidence_queries, sequence_queries, frame_queries, relational_queries, review_queries)
 
 
 def queries() -> dict[str, Query]:

@@ -66,6 +66,12 @@ def expected_minimum(counts: Mapping[str, int], found: Mapping[str, int]) -> dic
     return {k: "OK" if found.get(k, 0) >= v else "MISSING" if not found.get(k) else "WARNING" for k, v in counts.items()}
 
 
+def minimum_status(counts: DataFrame) -> DataFrame:
+    """counts (name, found, expected) with status: OK where a count reaches what is expected, MISSING where it is 0, else WARNING."""
+    f = F.coalesce("found", F.lit(0))
+    return counts.withColumn("status", F.when(f >= F.col("expected"), "OK").when(f == 0, "MISSING").otherwise("WARNING"))
+
+
 QUESTION_TYPES = ("ocr", "asr", "metadata", "object", "attribute_color", "count", "temporal", "visual")
 MODALITIES = ("keyframe", "ocr", "asr", "metadata", "object", "attribute", "temporal")
 

@@ -42,3 +42,8 @@ def fingerprint(rows: DataFrame, by: list[str], item: Column) -> DataFrame:
 
 def corpus_order() -> list[Column]:
     return [F.col("source_type"), F.col("video_id"), F.coalesce("keyframe_id", F.lit(-1)), F.coalesce("pts_time", F.lit(-1.0)), F.col("doc_id")]
+
+
+def length_stats(df: DataFrame, by: list[str], length: str, limit: int) -> DataFrame:
+    """Per group the least, most and mean length, and how many texts are longer than `limit`; a null length doesn't count."""
+    return df.filter(F.col(length).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("documents"), F.min(length).alias("least"), F.max(length).alias("most"), F.round(F.avg(length), 3).alias("mean"), F.count_if(F.col(length) > limit).alias("over_limit"))
