@@ -140,3 +140,49 @@ def valid_paths(steps: DataFrame, keys: Sequence[str], order: str, required: Seq
     have = F.collect_set("event_id")
     need = F.array(*[F.lit(e) for e in required])
     return d.groupBy(*keys).agg((F.count_distinct("video_id") == 1).alias("one_video"), (~F.bool_or("back")).alias("forward"), (F.size(F.array_except(need, have)) == 0).alias("complete"))
+
+
+def legacy_chains(candidates: DataFrame, events: Sequence[str], *, optional: Sequence[str] = (), beam: int = 100, top: int = 5, least_gap: float | None = None, most_gap: float | None = None, hard: bool = False, same_frame: bool = False, tolerance: float = 1.0) -> DataFrame:
+    """Chains of a video by `chain_score` of what they hold so far: video_id, path, score, gap_violations, mapping_mismatch, rank.
+
+    candidates: event_id, video_id, candidate_id, keyframe_id, t, local_score, provenance (a count), frame_seconds (the frame
+    number in seconds, or null). After each event the best `beam` prefixes stay (ties: the path); `top` chains, five at most.
+    A gap out of bounds ends a chain where it is `hard`, else it is counted. Optional events may be skipped; an event
+    whose frame lies more than `tolerance` seconds from its time is marked.
+    """
+    top, beam = max(1, min(top, 5)), max(beam, top)
+    zero, no = F.lit(0), F.lit(None)
+    state = candidates.select("video_id").distinct().select("video_id", F.array().cast("array<string>").alias("path"), F.array().cast("array<string>").alias("frames"), no.cast("double").alias("last_t"), zero.alias("required"), zero.alias("extra"), F.lit(0.0).alias("local"), zero.alias("prov"), zero.alias("gaps"), zero.alias("skips"), F.lit(False).alias("off"))
+    score = chain_score(F.col("required"), F.col("extra"), F.col("local"), F.col("prov"), F.col("gaps"), F.col("skips"), F.size("frames") - F.size(F.array_distinct("frames")))
+    for step, event in enumerate(events):
+        must = event not in optional
+        own = candidates.filter(F.col("event_id") == event).select("video_id", F.col("candidate_id").cast("string").alias("c"), F.col("keyframe_id").cast("string").alias("f"), F.col("t").cast("double").alias("t"), F.col("local_score").alias("ls"), F.col("provenance").alias("p"), "frame_seconds")
+        gap = F.col("t") - F.col("last_t")
+        forward = F.coalesce((gap >= 0) if same_frame else (gap > 0), F.lit(True))
+        bad = F.lit(False)
+        if least_gap is not None:
+            bad = bad | F.coalesce(gap < least_gap, F.lit(False))
+        if most_gap is not None:
+            bad = bad | F.coalesce(gap > most_gap, F.lit(False))
+        ok = forward & ~bad if hard else forward
+        grown = state.join(own, "video_id").filter(ok).select(
+            "video_id", F.array_append("path", F.col("c")).alias("path"), F.array_append("frames", F.col("f")).alias("frames"), F.col("t").alias("last_t"), (F.col("required") + int(must)).alias("required"), (F.col("extra") + int(not must)).alias("extra"), (F.col("local") + F.col("ls")).alias("local"),
+            (F.col("prov") + F.col("p")).alias("prov"), (F.col("gaps") + bad.cast("int")).alias("gaps"), "skips", (F.col("off") | F.coalesce(F.abs(F.col("frame_seconds") - F.col("t")) > tolerance, F.lit(False))).alias("off"),
+        )
+        if not must:
+            grown = grown.unionByName(state.withColumn("path", F.array_append("path", F.lit("~skip"))).withColumn("skips", F.col("skips") + 1))
+        state = rank_by(grown.withColumn("score", score), ["video_id"], [by_score("score"), F.col("path")], "rank", top if step == len(events) - 1 else beam)
+        if step < len(events) - 1:
+            state = state.drop("score", "rank")
+    return state.select("video_id", F.array_join("path", ">").alias("path"), "score", F.col("gaps").alias("gap_violations"), F.col("off").alias("mapping_mismatch"), "rank")
+
+
+def best_videos(chains: DataFrame, top: int = 20) -> DataFrame:
+    """Videos by their best chain (video_id, path, score, rank): video_id, path, score, video_rank."""
+    return rank_by(chains.filter("rank = 1").select("video_id", "path", "score"), [], [by_score("score"), F.col("video_id")], "video_rank", top)
+
+
+def chosen_chain(coverage: DataFrame, status: DataFrame, chains: DataFrame) -> DataFrame:
+    """One video and one chain of it: the first complete video by coverage (video_id, complete, rank) whose status is FEASIBLE."""
+    one = coverage.filter("complete").join(status.filter("status = 'FEASIBLE'").select("video_id"), "video_id").orderBy("rank").limit(1).select("video_id")
+    return chains.filter("rank = 1").join(F.broadcast(one), "video_id").select("video_id", "path", "score")  # one row

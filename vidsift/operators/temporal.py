@@ -132,9 +132,37 @@ def feasible(candidates: DataFrame, events: Sequence[str], least_gap: float = 0.
     return have.join(ok, "video_id", "left").select("video_id", F.coalesce(missing, F.when(F.col("ok"), "FEASIBLE").otherwise("NO_MONOTONIC_REQUIRED_PATH")).alias("status"))
 
 
-def adjacent_gaps(rows: DataFrame, entity: str, time: str, key: str) -> DataFrame:
-    w = Window.partitionBy(entity).orderBy(time, key)
-    return rows.withColumn("gap", F.lead(time).over(w) - F.col(time))
+def witnesses(candidates: DataFrame, events: Sequence[str], least_gap: float = 0.0, most_gap: float | None = None, hard: bool = True, same_frame: bool = False) -> DataFrame:
+    """Per video with a path through all events the best one: video_id, path (candidate ids), total, first_t, last_t.
+
+    Best: the highest sum of local scores, then the smallest ids. A step goes forward in time (with `same_frame` it may
+    stand still); gaps only count where they are `hard`. Each candidate keeps its best path, nothing is cut. With an upper
+    gap, states and candidates meet in time bins of that width; without one, rows are sorted once and never paired.
+    """
+    if not hard:
+        least_gap, most_gap = 0.0, None
+    of = lambda e: candidates.filter((F.col("event_id") == e) & F.col("t").isNotNull()).select("video_id", F.col("candidate_id").cast("string").alias("c"), F.col("t").cast("double").alias("t"), F.col("local_score").cast("double").alias("s"))
+    key = lambda neg, path: F.struct(neg.alias("neg"), path.alias("path"))
+    state = of(events[0]).select("video_id", "t", F.col("t").alias("first_t"), key(-F.col("s"), F.array("c")).alias("k"))
+    for event in events[1:]:
+        own = of(event)
+        if most_gap is None:
+            # the time from which on a state can be followed; at equal times a strict order puts followers first
+            before = state.select("video_id", (F.col("t") + max(least_gap, 0.0)).alias("at"), F.lit(0 if same_frame or least_gap > 0 else 2).alias("side"), F.struct("k", "first_t").alias("b"), F.lit(None).cast("string").alias("c"), F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("s"))
+            after = own.select("video_id", F.col("t").alias("at"), F.lit(1).alias("side"), F.lit(None).cast(before.schema["b"].dataType).alias("b"), "c", "t", "s")
+            w = Window.partitionBy("video_id").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+            met = before.unionByName(after).withColumn("best", F.min("b").over(w)).filter("side = 1 AND best IS NOT NULL")
+        else:
+            wide = max(most_gap, 1e-6)
+            cell = lambda c: F.floor(c / wide).cast("long")  # noqa: B023, E731
+            p = state.withColumnRenamed("t", "pt").withColumn("cell", F.explode(F.array(cell(F.col("pt")), cell(F.col("pt")) + 1)))
+            gap = F.col("t") - F.col("pt")
+            ok = (gap >= 0 if same_frame else gap > 0) & (gap >= least_gap) & (gap <= most_gap)
+            pairs = own.withColumn("cell", cell(F.col("t"))).join(p, ["video_id", "cell"]).filter(ok)
+            met = pairs.groupBy("video_id", "c", "t", "s").agg(F.min(F.struct("k", "first_t")).alias("best"))
+        state = met.select("video_id", "t", F.col("best.first_t").alias("first_t"), key(F.col("best.k.neg") - F.col("s"), F.array_append("best.k.path", F.col("c"))).alias("k"))
+    best = state.groupBy("video_id").agg(F.min(F.struct("k", "t", "first_t")).alias("b"))
+    return best.select("video_id", F.array_join("b.k.path", ">").alias("path"), (-F.col("b.k.neg")).alias("total"), "b.first_t", F.col("b.t").alias("last_t"))
 
 
 def sessions(rows: DataFrame, entity: str, time: Column, key: str, gap_seconds: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vidsift.functions import text as T
-from vidsift.operators import answers, evaluate, ranking, sequences
+from vidsift.operators import answers, evaluate, ranking, sequences, temporal
 from vidsift.plans import planner
 from vidsift.plans.evidence_queries import _ALL, _CAND, _JUDGE, _event_candidates, _judged
 from vidsift.registry import Registry
@@ -186,3 +186,55 @@ def speech_gap_classes(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("video_id").orderBy("start_time", "asr_id")
     g = table(spark, sf, "asr").filter("start_time IS NOT NULL").withColumn("gap", F.col("start_time") - F.lag("start_time").over(w))
     return g.groupBy("video_id").agg(planner.gap_class(F.max("gap")).alias("widest"))
+
+
+_PATHS = _ALL + """, w AS (SELECT a.video_id, a.candidate_id::VARCHAR AS x, b.candidate_id::VARCHAR AS y, d.candidate_id::VARCHAR AS z, -a.s - b.s - d.s AS neg, a.t AS first_t, d.t AS last_t
+  FROM c a JOIN c b ON a.video_id = b.video_id AND a.event_id = 'view' AND b.event_id = 'click' AND {0} JOIN c d ON a.video_id = d.video_id AND d.event_id = 'purchase' AND {1})
+SELECT video_id, x || '>' || y || '>' || z AS path, round(-neg, 6) AS total, round(first_t, 6) AS first_t, round(last_t, 6) AS last_t FROM w QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY {2}, x, y, z) = 1"""
+
+
+@registry(_PATHS.format("b.t > a.t AND b.t - a.t BETWEEN 60 AND 86400", "d.t > b.t AND d.t - b.t BETWEEN 60 AND 86400", "round(neg, 12)"))
+def feasible_witnesses(spark: SparkSession, sf: str) -> DataFrame:
+    """The best path view, click, purchase of each user, each step between a minute and a day after the one before."""
+    w = temporal.witnesses(_event_candidates(spark, sf, None).withColumn("local_score", F.round("local_score", 12)), EVENTS, 60.0, 86400.0)
+    return w.select("video_id", "path", F.round("total", 6).alias("total"), F.round("first_t", 6).alias("first_t"), F.round("last_t", 6).alias("last_t"))
+
+
+@registry(
+    _CAND
+    + """, p AS (SELECT a.video_id, a.candidate_id::VARCHAR AS x, b.candidate_id::VARCHAR AS y, (b.t - a.t > 86400)::INT AS g, a.candidate_id % 30 = b.candidate_id % 30 AS same, abs(a.candidate_id % 3 + b.candidate_id % 3) AS pr, a.s + b.s AS s, (a.candidate_id % 50 = 0 OR b.candidate_id % 50 = 0) AS off
+  FROM c a JOIN c b ON a.video_id = b.video_id AND a.event_id = 'view' AND b.event_id = 'click' AND b.t > a.t),
+z AS (SELECT video_id, x || '>' || y AS path, 4.0 + s + 0.03 * pr - 0.25 * g - same::INT AS score, g, off, x, y FROM p)
+SELECT video_id, path, round(score, 6) AS score, g AS gap_violations, off AS mapping_mismatch, row_number() OVER (PARTITION BY video_id ORDER BY round(score, 9) DESC, x, y) AS rank FROM z QUALIFY rank <= 5"""
+)
+def legacy_chains(spark: SparkSession, sf: str) -> DataFrame:
+    """View, then click within a day, of the best eight of each user (so that the beam of a hundred holds all pairs); ids stand for frames and provenance."""
+    i = F.col("candidate_id")
+    c = _event_candidates(spark, sf).withColumns({"keyframe_id": i % 30, "provenance": (i % 3).cast("int"), "frame_seconds": F.when(i % 50 == 0, F.col("t") + 2.0).otherwise(F.col("t"))})
+    return sequences.legacy_chains(c, ["view", "click"], most_gap=86400.0).withColumn("score", F.round("score", 6))
+
+
+@registry(
+    _CAND
+    + """, b AS (SELECT video_id, event_id, max(s) AS s FROM c GROUP BY ALL),
+cov AS (SELECT video_id, count(*) FILTER (WHERE event_id IN ('view', 'click')) AS rf, count(*) FILTER (WHERE event_id = 'purchase') AS opt, coalesce(max(s) FILTER (WHERE event_id = 'click'), 0) AS a, sum(s) AS t FROM b GROUP BY 1),
+p AS (SELECT a.video_id, a.candidate_id::VARCHAR AS x, d.candidate_id::VARCHAR AS y, 4.0 + a.s + d.s AS score FROM c a JOIN c d ON a.video_id = d.video_id AND a.event_id = 'view' AND d.event_id = 'click' AND d.t > a.t),
+o AS (SELECT video_id FROM cov WHERE rf = 2 AND video_id IN (SELECT video_id FROM p) ORDER BY opt DESC, round(a, 9) DESC, round(t, 9) DESC, video_id LIMIT 1)
+SELECT video_id, x || '>' || y AS path, round(score, 6) AS score FROM p JOIN o USING (video_id) QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, x, y) = 1"""
+)
+def chosen_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """The first complete and feasible user, and the best chain of theirs: the contract of one video."""
+    c = _event_candidates(spark, sf)
+    full = c.withColumns({"keyframe_id": F.col("candidate_id"), "provenance": F.lit(0), "frame_seconds": F.lit(None).cast("double")})
+    chains = sequences.legacy_chains(full, ["view", "click"])
+    out = sequences.chosen_chain(sequences.video_coverage(c, ["view", "click"], ["purchase"], "click"), temporal.feasible(c, ["view", "click"]), chains)
+    return out.select("video_id", "path", F.round("score", 6).alias("score"))
+
+
+@registry(_CAND + """, p AS (SELECT a.video_id, a.candidate_id::VARCHAR AS x, d.candidate_id::VARCHAR AS y, 4.0 + a.s + d.s AS score FROM c a JOIN c d ON a.video_id = d.video_id AND a.event_id = 'view' AND d.event_id = 'click' AND d.t > a.t),
+m AS (SELECT video_id, x || '>' || y AS path, score FROM p QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY round(score, 9) DESC, x, y) = 1)
+SELECT video_id, path, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, video_id) AS video_rank FROM m QUALIFY video_rank <= 20""")
+def best_chain_videos(spark: SparkSession, sf: str) -> DataFrame:
+    """The twenty users with the best chains (a top-k report)."""
+    c = _event_candidates(spark, sf).withColumns({"keyframe_id": F.col("candidate_id"), "provenance": F.lit(0), "frame_seconds": F.lit(None).cast("double")})
+    return sequences.best_videos(sequences.legacy_chains(c, ["view", "click"])).withColumn("score", F.round("score", 6))
