@@ -47,6 +47,16 @@ def test_two_overlapping_boxes_one_kept(spark):
     assert objects.suppressed(spark.createDataFrame(rows, D), 0.1).count() == 2
 
 
+def test_a_prefix_decides_the_first_boxes(spark):
+    """A frame of many boxes, most of them suppressed: the first ones are the same whichever way."""
+    rng = random.Random(8)
+    rows = [("V", 0, "x", round(rng.random(), 3), 0.1 + rng.random() * 0.05, 0.1, 0.5, 0.5) for _ in range(300)] + [("V", 0, rng.choice("yz"), 0.05, k / 100, k / 100, k / 100 + 0.01, k / 100 + 0.01) for k in range(60)]
+    rows += [("V", 1, "x", 0.5, 0.1, 0.1, 0.2, 0.2)]
+    d = spark.createDataFrame(rows, "video_id string, keyframe_id int, label_normalized string, confidence double, bbox_y1 double, bbox_x1 double, bbox_y2 double, bbox_x2 double")
+    whole = [sorted(map(tuple, objects.suppressed(d, 0.0, keep=20, prefix=n).collect())) for n in (1, 50, 320, 10_000)]
+    assert all(w == whole[0] for w in whole) and len(whole[0]) == 21
+
+
 def test_regions(spark):
     d = spark.createDataFrame([(0.329999,), (0.33,), (0.659999,), (0.66,), (None,)], "x double")
     assert [r[0] for r in d.select(V.horizontal_region(F.col("x"))).collect()] == ["left", "center", "center", "right", None]

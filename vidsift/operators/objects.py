@@ -4,32 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vidsift.functions.vectors import horizontal_region, kept_boxes, vertical_region
 from vidsift.operators.ranking import by_score, rank_by
+from vidsift.session import cut
 
 FRAME = ["video_id", "keyframe_id"]
+#: Boxes of a frame that decide about its first ones, as a rule.
+PREFIX_BOXES = 2_000
 
 
 def valid_confidence(c: str = "confidence"):
     return F.col(c).isNotNull() & ~F.isnan(c) & F.col(c).between(0.0, 1.0)
 
 
-def suppressed(detections: DataFrame, min_confidence: float, threshold: float = 0.5, keep: int | None = None) -> DataFrame:
+def _folded(d: DataFrame, threshold: float) -> DataFrame:
+    """Greedy suppression by a fold over each frame's ordered boxes of a label."""
+    box = F.struct((-F.col("confidence")).alias("neg"), "y1", "x1", "y2", "x2")
+    per = d.groupBy(*FRAME, "label_normalized").agg(kept_boxes(F.array_sort(F.collect_list(box)), threshold).alias("kept"))
+    return per.select(*FRAME, "label_normalized", F.explode("kept").alias("b")).select(*FRAME, "label_normalized", "b.y1", "b.x1", "b.y2", "b.x2", (-F.col("b.neg")).alias("confidence"))
+
+
+def suppressed(detections: DataFrame, min_confidence: float, threshold: float = 0.5, keep: int | None = None, prefix: int = PREFIX_BOXES) -> DataFrame:
     """Boxes kept by greedy suppression per frame and label, in order of confidence, then label, then box: frame, label, box, confidence.
 
-    A fold over each frame's ordered boxes of a label, inside one row; with `keep`, the first boxes of a frame. Rows
-    that agree in all but their id count once, so redelivered rows don't lengthen the fold.
+    A fold over each frame's ordered boxes of a label; rows that agree in all but their id count once, so redelivered rows
+    don't lengthen it. With `keep`, the first boxes of a frame: whether a box is kept depends only on those before it, so a
+    frame's `prefix` best boxes decide, taken before the exchange, unless fewer than `keep` of them are kept; such
+    frames are folded whole. So a frame that holds a large share of all rows is rarely seen whole by one task.
     """
     d = detections.filter(valid_confidence() & (F.col("confidence") >= min_confidence) & F.col("label_normalized").isNotNull())
-    box = F.struct((-F.col("confidence")).alias("neg"), F.col("bbox_y1").alias("y1"), F.col("bbox_x1").alias("x1"), F.col("bbox_y2").alias("y2"), F.col("bbox_x2").alias("x2"))
-    per = d.groupBy(*FRAME, "label_normalized").agg(kept_boxes(F.array_sort(F.collect_set(box)), threshold).alias("kept"))
-    rows = per.select(*FRAME, "label_normalized", F.explode("kept").alias("b")).select(*FRAME, "label_normalized", "b.y1", "b.x1", "b.y2", "b.x2", (-F.col("b.neg")).alias("confidence"))
-    if keep:
-        rows = rank_by(rows, FRAME, [F.col("confidence").desc(), *[F.col(c) for c in ("label_normalized", "y1", "x1", "y2", "x2")]], "box_rank", keep)
-    return rows
+    d = d.select(*FRAME, "label_normalized", *[F.col(f"bbox_{c}").alias(c) for c in ("y1", "x1", "y2", "x2")], "confidence")
+    if not keep:
+        return _folded(d.distinct(), threshold)
+    order = [F.col("confidence").desc(), *[F.col(c) for c in ("label_normalized", "y1", "x1", "y2", "x2")]]
+    first = rank_by(d.distinct(), FRAME, order, "__n", prefix + 1)
+    long = first.filter(F.col("__n") > prefix).select(*FRAME)
+    begun = cut(rank_by(_folded(first.filter(F.col("__n") <= prefix), threshold), FRAME, order, "box_rank", keep).join(long.withColumn("long", F.lit(True)), FRAME, "left"))
+    short = begun.filter("long").groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < keep).select(*FRAME)
+    if short.isEmpty():
+        return begun.drop("long")
+    whole = rank_by(_folded(d.join(short, FRAME, "left_semi").distinct(), threshold), FRAME, order, "box_rank", keep)
+    return begun.join(short, FRAME, "left_anti").drop("long").unionByName(whole)
 
 
 def label_counts(frames: DataFrame, boxes: DataFrame, labels: Sequence[str], horizontal: str = "any", vertical: str = "any") -> DataFrame:
@@ -97,9 +115,3 @@ def top_labels(detections: DataFrame, min_confidence: float, keep: int = 20) ->
 def threshold_counts(detections: DataFrame, thresholds: Sequence[float] = (0.1, 0.2, 0.3, 0.5)) -> DataFrame:
     d = detections.filter(valid_confidence())
     return d.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col("confidence") >= t).alias(f"at_{int(t * 100):02d}") for t in thresholds])
-
-
-def crowding(detections: DataFrame) -> DataFrame:
-    """Frames by number of detections, with each video's rank of its fullest frame."""
-    n = detections.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("video_id")))

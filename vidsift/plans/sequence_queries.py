@@ -47,9 +47,18 @@ def event_windows_around_anchor(spark: SparkSession, sf: str) -> DataFrame:
     return w.select("video_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), F.round("score", 6).alias("score"))
 
 
-@registry()
+@registry(
+    _CAND
+    + """, h AS (SELECT video_id, candidate_id::VARCHAR AS k, t, 1.0 / (60 + rank) AS s, CASE event_id WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS lane FROM c WHERE event_id IN ('view', 'click', 'purchase') AND t IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY event_id, video_id ORDER BY rank, candidate_id) <= 6),
+w AS (SELECT a.video_id, 2 AS frames, a.s + b.s AS s, least(a.t, b.t) AS t0, b.t AS t1, a.k || '>' || b.k AS path FROM h a JOIN h b ON a.video_id = b.video_id AND a.lane < b.lane AND a.t <= b.t + 0.5
+  UNION ALL SELECT a.video_id, 3, a.s + b.s + d.s, least(a.t, b.t, d.t), d.t, a.k || '>' || b.k || '>' || d.k FROM h a JOIN h b ON a.video_id = b.video_id AND a.lane = 1 AND b.lane = 2 AND a.t <= b.t + 0.5 JOIN h d ON d.video_id = b.video_id AND d.lane = 3 AND b.t <= d.t + 0.5),
+z AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY frames DESC, round(s, 9) DESC, round(t1 - t0, 9), t1, path) = 1),
+y AS (SELECT video_id, path, frames::INTEGER AS frames, frames / 3.0 + s + 0.05 / (1 + (t1 - t0) / 60.0) AS score, t1 - t0 AS span FROM z)
+SELECT video_id, path, frames, round(score, 6) AS score, round(span, 6) AS span, row_number() OVER (ORDER BY frames DESC, round(score, 9) DESC, round(span, 9), video_id) AS rank FROM y QUALIFY rank <= 16"""
+)
 def compact_event_chains(spark: SparkSession, sf: str) -> DataFrame:
-    """The sixteen best monotone chains (a top-k report); states are kept per hit, tested on fixtures."""
+    """The sixteen best monotone chains (a top-k report); states are kept per hit."""
     c = _event_candidates(spark, sf).withColumnRenamed("event_id", "lane")
     out = sequences.compact_chains(c, EVENTS)
     return out.select("video_id", "path", "frames", F.round("score", 6).alias("score"), F.round("span", 6).alias("span"), "rank")
