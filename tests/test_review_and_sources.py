@@ -61,6 +61,19 @@ def test_spaced_equals_loop_over_all_rows(spark):
     assert got == want
 
 
+def test_following_rows_across_buckets(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["A", "B", None]), None if i == 5 else rng.randrange(60), i) for i in range(90)]
+    d = spark.createDataFrame(rows, "v string, o int, i int")
+    want = {}
+    for v in ("A", "B", None):
+        own = sorted((r for r in rows if r[0] == v), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        want |= {a[2]: b[2] for a, b in zip(own, own[1:])} | {own[-1][2]: None}
+    for width in (1, 7, 1000):
+        got = {r.i: r.next.i if r.next else None for r in ranking.following(d, ["v"], "o", "i", ["i"], width).collect()}
+        assert got == want
+
+
 def test_two_stages(spark):
     coarse = spark.createDataFrame([("V", float(t), s) for t, s in ((0, 0.1), (1, 0.9), (2, 0.8), (9, 0.7), (10, None))], "video_id string, t double, score double")
     fine = spark.createDataFrame([("V", 1.25, 0.95), ("V", 1.5, 0.2), ("V", 5.0, 0.99), ("V", 9.1, 0.75), ("W", 1.0, 1.0)], "video_id string, t double, score double")

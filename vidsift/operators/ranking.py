@@ -11,6 +11,8 @@ from vidsift.session import cut
 
 #: Digits to which scores are rounded before they order rows, so that the last bit can't swap two.
 ORDER_DIGITS = 9
+#: Numbers of an order that one window sees.
+BUCKET_WIDTH = 10_000
 
 
 def by_score(score: str | Column) -> Column:
@@ -98,6 +100,21 @@ def neighbours(df: DataFrame, partition: Sequence[str], order: Sequence[str], ke
     return df.withColumn(name, F.collect_list(key).over(w))
 
 
+def following(df: DataFrame, partition: Sequence[str], order: str, tie: str, values: Sequence[str], width: int = BUCKET_WIDTH, name: str = "next") -> DataFrame:
+    """Each row with the values (a struct) of the row after it in its partition, by a whole-number `order`, then `tie`; null for the last.
+
+    Partitions are cut into buckets of `width` numbers; a window sees one bucket, and the last row of a bucket gets the first of
+    the next one that isn't empty. So a partition that holds a large share of all rows spreads over tasks. Null
+    partition values are one partition; rows with a null `order` come first.
+    """
+    d = df.withColumns({"__p": F.struct(*partition), "__b": F.floor(F.col(order) / width).cast("long"), "__v": F.struct(*values)})
+    inner = Window.partitionBy("__p", "__b").orderBy(order, tie)
+    d = d.withColumns({"__n": F.lead("__v").over(inner), "__last": F.lead(F.lit(1)).over(inner).isNull(), "__bb": F.coalesce("__b", F.lit(-(2**62)))})
+    heads = d.groupBy("__p", "__bb").agg(F.min(F.struct(F.col(order).alias("o"), F.col(tie).alias("t"), F.col("__v").alias("v"))).alias("h"))
+    heads = heads.select("__p", "__bb", F.lead("h.v").over(Window.partitionBy("__p").orderBy("__bb")).alias("__h"))
+    return d.join(heads, ["__p", "__bb"], "left").withColumn(name, F.when(F.col("__last"), F.col("__h")).otherwise(F.col("__n"))).drop("__p", "__b", "__bb", "__v", "__n", "__last", "__h")
+
+
 def spaced(df: DataFrame, partition: Sequence[str], time: str, rank: str, gap: float, keep: int) -> DataFrame:
     """Greedy choice in rank order: a row is taken if it lies `gap` or more from all taken; then rejected rows fill up to `keep`.
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vidsift.operators.ranking import by_score, rank_by
+from vidsift.operators.ranking import by_score, following, rank_by
 
 MODALITY_WEIGHTS = {"clip": 1.0, "object": 2.0, "attribute": 2.0, "ocr": 3.0, "asr": 3.0}
 RERANK_WEIGHTS = {"semantic": 0.35, "temporal": 0.25, "linkage": 0.15, "context": 0.15, "multimodal": 0.05, "coverage": 0.05}
@@ -88,16 +88,15 @@ def event_score(ranks: Mapping[str, Column], usable: Mapping[str, Column], fallb
 
 
 def linkage(steps: DataFrame, keys: Sequence[str], order: str, scale: float = 60.0) -> DataFrame:
-    """Per chain the mean and least linkage of neighbouring steps (t, scene, tokens): time decay, same scene, token overlap (twice), each where known."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    nxt = lambda c: F.lead(c).over(w)
-    both = F.size(F.array_union("tokens", nxt("tokens")))
-    d = steps.withColumns({
-        "decay": F.exp(-F.greatest(nxt("t") - F.col("t"), F.lit(0.0)) / scale),
-        "scene_same": F.when(F.col("scene").isNotNull() & nxt("scene").isNotNull(), (F.col("scene") == nxt("scene")).cast("double")),
-        "overlap": F.when(both > 0, F.size(F.array_intersect("tokens", nxt("tokens"))) / both),
-        "last": nxt("t").isNull(),
-    }).filter(~F.col("last"))
+    """Per chain the mean and least linkage of neighbouring steps (t, scene, tokens) by a whole-number order: time decay, same scene,
+    token overlap (twice), each where known."""
+    n = lambda c: F.col(f"next.{c}")
+    both = F.size(F.array_union("tokens", n("tokens")))
+    d = following(steps, keys, order, order, ["t", "scene", "tokens"]).filter(F.col("next").isNotNull() & n("t").isNotNull()).withColumns({
+        "decay": F.exp(-F.greatest(n("t") - F.col("t"), F.lit(0.0)) / scale),
+        "scene_same": F.when(F.col("scene").isNotNull() & n("scene").isNotNull(), (F.col("scene") == n("scene")).cast("double")),
+        "overlap": F.when(both > 0, F.size(F.array_intersect("tokens", n("tokens"))) / both),
+    })
     pair = weighted_mean({"decay": F.col("decay"), "scene": F.col("scene_same"), "overlap": F.col("overlap")}, {"decay": 1.0, "scene": 1.0, "overlap": 2.0})
     return d.withColumn("pair", pair).groupBy(*keys).agg(F.avg("pair").alias("linkage"), F.min("pair").alias("least"))
 

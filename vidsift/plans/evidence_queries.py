@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidsift.functions import vectors as V
@@ -156,7 +156,7 @@ SELECT video_id, count(gap) AS gaps, round(min(gap), 6) AS least, round(max(gap)
 def gap_distribution(spark: SparkSession, sf: str) -> DataFrame:
     """Gaps between neighbouring keyframes, and whether their times ever fall."""
     k = table(spark, sf, "keyframes").filter("pts_time IS NOT NULL").groupBy("video_id", "keyframe_id").agg(F.min("pts_time").alias("t"))
-    g = k.withColumn("gap", F.lead("t").over(Window.partitionBy("video_id").orderBy("keyframe_id")) - F.col("t"))
+    g = ranking.following(k, ["video_id"], "keyframe_id", "t", ["t"]).withColumn("gap", F.col("next.t") - F.col("t"))
     r = lambda c: F.round(c, 6)
     return g.groupBy("video_id").agg(F.count("gap").alias("gaps"), r(F.min("gap")).alias("least"), r(F.max("gap")).alias("most"), r(F.avg("gap")).alias("mean"), F.coalesce(F.bool_or(F.col("gap") < 0), F.lit(False)).alias("out_of_order"))
 

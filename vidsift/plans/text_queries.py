@@ -348,8 +348,8 @@ SELECT asr_id, round(CASE WHEN len(list_distinct(k || nk)) > 0 THEN len(list_int
 @registry(_JACCARD)
 def adjacent_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Token overlap of each speech segment with the next one of its video."""
-    w = Window.partitionBy("video_id").orderBy("segment_id", "asr_id")
-    a = table(spark, sf, "asr").withColumn("k", T.scoring_tokens(F.col("text_raw"))).withColumn("nk", F.lead("k").over(w)).filter("k IS NOT NULL AND nk IS NOT NULL")
+    a = table(spark, sf, "asr").select("asr_id", "video_id", "segment_id", T.scoring_tokens(F.col("text_raw")).alias("k"))
+    a = ranking.following(a, ["video_id"], "segment_id", "asr_id", ["k"]).withColumn("nk", F.col("next.k")).filter("k IS NOT NULL AND nk IS NOT NULL")
     both = F.size(F.array_union("k", "nk"))
     return a.select("asr_id", F.round(F.when(both > 0, F.size(F.array_intersect("k", "nk")) / both).otherwise(0.0), 6).alias("jaccard"))
 
