@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import ast
 import base64
-import importlib.util
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -25,11 +25,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def load_pattern(root: str) -> str:
-    """The pre-token pattern that the vocabulary's package states."""
-    spec = importlib.util.spec_from_file_location("_public_tokenizers", Path(root) / "__init__.py")
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
-    return module.PATTERN
+    """The pre-token pattern that the vocabulary's package states, read as data: nothing of the package is executed."""
+    tree = ast.parse((Path(root) / "__init__.py").read_text(encoding="utf-8"))
+    for node in tree.body:
+        if isinstance(node, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "PATTERN" for t in node.targets):
+            return ast.literal_eval(node.value)
+    raise ValueError(f"{root} states no pattern")
 
 
 class RankQueue:
@@ -140,6 +141,16 @@ class Encoder:
         return out
 
 
+#: Encoders that a worker process has built; its later tasks use them again.
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def kept_encoder(name: tuple[str, str], sent) -> Encoder:
+    if name not in _ENCODERS:
+        _ENCODERS[name] = Encoder(*sent.value)
+    return _ENCODERS[name]
+
+
 def encode_corpus(df: DataFrame, *, doc_id: str, text: str, tokenizers: str = TOKENIZERS, vocabulary: str = "byte_bpe_50k") -> DataFrame:
     """doc_id and ids (array<int>) of each row: the token ids of its whole text, without special tokens.
 
@@ -153,7 +164,7 @@ def encode_corpus(df: DataFrame, *, doc_id: str, text: str, tokenizers: str = TO
     out_type = pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*sent.value)
+        encoder = kept_encoder((tokenizers, vocabulary), sent)
         for batch in batches:
             ids = [encoder.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, out_type)], ["k", "ids"])
