@@ -57,7 +57,7 @@ def test_writers(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "l")).count() == 10
 
 
-@pytest.mark.parametrize("kind", ["window", "session", "dedupe", "sequence"])
+@pytest.mark.parametrize("kind", ["window", "session", "dedupe", "sequence", "enriched"])
 def test_streams_equal_batch(spark, tmp_path, kind):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     # a last event far ahead, so that the watermark passes all others
@@ -72,6 +72,8 @@ def test_streams_equal_batch(spark, tmp_path, kind):
         "dedupe": lambda e: live.deduplicated(e, ["event_id"], "ts").select("event_id"),
         "sequence": lambda e: live.sequences(e.filter("event_type = 'view'"), e.filter("event_type = 'purchase'"), "user_id", "ts").select("user_id", "first_id", "second_id"),
     }
+    names = spark.createDataFrame([("view", "seen"), ("click", "clicked")], "event_type string, verb string")
+    ops["enriched"] = lambda e: live.enriched(e, names, ["event_type"]).select("event_id", "event_type", "verb", "user_id")
     out = str(tmp_path / "out")
     stream = live.event_stream(spark, folder, events.schema, files_per_trigger=10)
     live.drain(ops[kind](stream), out, str(tmp_path / "ck"))

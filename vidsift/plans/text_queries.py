@@ -358,3 +358,10 @@ def adjacent_overlap(spark: SparkSession, sf: str) -> DataFrame:
 def answers_canonical(spark: SparkSession, sf: str) -> DataFrame:
     a = table(spark, sf, "eval_items").filter("expected_answer IS NOT NULL")
     return a.select("item_id", T.answer_canonical(F.col("expected_answer")).alias("canonical"))
+
+
+@registry("SELECT doc_id, row_number() OVER (ORDER BY source_type, video_id, coalesce(keyframe_id, -1), coalesce(pts_time, -1), doc_id) AS rank FROM documents WHERE video_id IS NOT NULL AND source_type IS NOT NULL")
+def corpus_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The place of each document in the corpus file's order, numbered over range partitions."""
+    d = table(spark, sf, "documents").filter("video_id IS NOT NULL AND source_type IS NOT NULL").select("source_type", "video_id", "keyframe_id", "pts_time", "doc_id")
+    return ranking.rank_by(d, [], corpus.corpus_order(), "rank").select("doc_id", "rank")
