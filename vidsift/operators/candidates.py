@@ -108,3 +108,9 @@ def evidence_states(candidates: DataFrame, enabled: Mapping[str, bool], known: M
         return F.when(F.col(f"{c}_rank").isNotNull(), "matched").when(F.coalesce(known.get(c, F.lit(True)), F.lit(False)), "not_matched").otherwise("unknown")
 
     return candidates.withColumns({f"{c}_state": state(c) for c in FRAME_CHANNELS})
+
+
+def enriched(hits: DataFrame, metadata: DataFrame, keywords: str = "keywords", most: int = 8) -> DataFrame:
+    """Hits with what is known of their video (one row each in `metadata`), the first `most` keywords of it; a video without keeps nulls."""
+    own = metadata.withColumn(keywords, F.slice(keywords, 1, most))
+    return hits.join(own, "video_id", "left")

@@ -114,3 +114,10 @@ def light_score(base: Column, best: Column, matches: Column, query: Column, evid
     """Base score by the largest, plus .08 per match, .12 times the share of query tokens in the evidence, .06 times the share of required modalities."""
     share = lambda a, b: F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(F.lit(0.0))
     return base / F.greatest(F.abs(best), F.lit(1e-9)) + 0.08 * matches + 0.12 * share(query, evidence) + 0.06 * share(required, matched)
+
+
+def externally_ranked(hits: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Hits (query_id, keys, rank) in the order of scores that a model elsewhere gave them: adds external_score, new_rank. Scores may only
+    reorder: one for what isn't among the hits, or out of 0..1, doesn't count; hits without a score follow in their order."""
+    known = scores.filter(F.col("score").between(0.0, 1.0)).groupBy("query_id", *keys).agg(F.max("score").alias("external_score"))
+    return rank_by(hits.join(known, ["query_id", *keys], "left"), ["query_id"], [by_score("external_score"), F.col("rank"), *[F.col(k) for k in keys]], "new_rank")

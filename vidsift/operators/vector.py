@@ -130,3 +130,24 @@ def norm_stats(df: DataFrame, vector: str) -> DataFrame:
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("f")).alias("finite_rows"), F.count_if(F.col("n") == 0).alias("zero_rows"),
         F.round(F.min("n"), 6).alias("min_norm"), F.round(F.max("n"), 6).alias("max_norm"), F.round(F.avg("n"), 6).alias("mean_norm"),
     )
+
+
+VISUAL_SOURCES = ("clip", "visual")
+
+
+def frame_retriever(index: DataFrame, queries: DataFrame, *, key: str, vector: str, query_key: str, query_vector: str, k: int, dims: int, sources: Sequence[str] = (), videos: Sequence[str] = (), groups: Sequence[str] = ()) -> DataFrame:
+    """Frames as one retriever among several: query_id, document_id (`clip:video:frame`), source_type, video_id, keyframe_id, score, rank.
+
+    The index (video_id, keyframe_id) is narrowed to videos and groups before the search; a filter on kinds of documents that
+    names neither clip nor visual leaves nothing.
+    """
+    found = index
+    if sources and not set(sources) & set(VISUAL_SOURCES):
+        found = found.filter(F.lit(False))
+    if videos:
+        found = found.filter(F.col("video_id").isin(*videos))
+    if groups:
+        found = found.filter(F.split_part("video_id", F.lit("_"), F.lit(1)).isin(*groups))
+    hits = cosine_topk(found, queries, key=key, vector=vector, query_key=query_key, query_vector=query_vector, k=k, dims=dims, carry=["video_id", "keyframe_id"])
+    name = F.concat_ws(":", F.lit("clip"), "video_id", F.col("keyframe_id").cast("string"))
+    return hits.select("query_id", name.alias("document_id"), F.lit("clip").alias("source_type"), "video_id", "keyframe_id", "score", "rank")

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidsift.functions import text as T
-from vidsift.operators import answers, audit, candidates, colors, corpus, evaluate, fusion, localise, ranking, review, sequences, temporal
+from vidsift.functions.vectors import usable
+from vidsift.operators import answers, audit, candidates, colors, corpus, evaluate, fusion, localise, ranking, review, sequences, temporal, vector
 from vidsift.plans import payloads
 from vidsift.plans.evidence_queries import _ALL, _CHANNELS, _OK, _candidates, _event_candidates
-from vidsift.plans.vector_queries import _FRAMES, _TWO, _two_channels, frame_hits
+from vidsift.plans.vector_queries import _FRAMES, _TWO, _USABLE, _two_channels, frame_hits
 from vidsift.registry import Registry
 from vidsift.sources.tables import table
 
@@ -389,3 +390,59 @@ def refined_candidates(spark: SparkSession, sf: str) -> DataFrame:
     text = clip.select("query_id", "video_id").distinct().join(best, "video_id").select("query_id", F.lit("ocr").alias("channel"), "video_id", "keyframe_id", "t", "rank", F.lit(None).cast("double").alias("seed_t"))
     out = fusion.refined_frames(clip, text, refs, radius=15.0, limit=10)
     return out.select("query_id", "video_id", "keyframe_id", r6("score").alias("score"), "channels", "rank")
+
+
+@registry(_FRAMES.replace("FROM clip_features WHERE", "FROM clip_features WHERE video_id IN ('L21_V002', 'L21_V003', 'L21_V004') AND",1).replace("(SELECT * FROM v WHERE vec_id % 50 = 0) q", f"(SELECT vec_id, clip_feature::DOUBLE[] AS e, sqrt(list_inner_product(clip_feature::DOUBLE[], clip_feature::DOUBLE[])) AS n FROM clip_features WHERE {_USABLE} AND vec_id % 50 = 0) q")
+  + "SELECT query_id, 'clip:' || video_id || ':' || keyframe_id AS document_id, 'clip' AS source_type, video_id, keyframe_id, round(score, 6) AS score, rank FROM hits WHERE rank <= 10")
+def frame_retriever(spark: SparkSession, sf: str) -> DataFrame:
+    """The frame search as one retriever among several, over three videos."""
+    rows = table(spark, sf, "clip_features")
+    out = vector.frame_retriever(rows, rows.filter("vec_id % 50 = 0"), key="vec_id", vector="clip_feature", query_key="vec_id", query_vector="clip_feature", k=10, dims=128, sources=["clip", "ocr"], videos=["L21_V002", "L21_V003", "L21_V004"], groups=["L21"])
+    return out.withColumn("score", r6("score"))
+
+
+@registry(_FRAMES + """, h AS (SELECT query_id, vec_id, rank FROM hits WHERE rank <= 12), x AS (SELECT query_id, vec_id, max((vec_id * 37 % 100) / 90.0) AS e FROM h WHERE vec_id % 3 <> 0 AND (vec_id * 37 % 100) / 90.0 <= 1 GROUP BY ALL)
+SELECT query_id, vec_id, rank, round(e, 6) AS external_score, row_number() OVER (PARTITION BY query_id ORDER BY round(e, 9) DESC NULLS LAST, rank, vec_id) AS new_rank FROM h LEFT JOIN x USING (query_id, vec_id)""")
+def external_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """Made-up scores from elsewhere reorder the hits they know; some are out of range, some for other frames."""
+    hits = frame_hits(spark, sf, 12).select("query_id", "vec_id", "rank")
+    given = frame_hits(spark, sf, 20).filter("vec_id % 3 <> 0").select("query_id", "vec_id", ((F.col("vec_id") * 37 % 100) / 90.0).alias("score"))
+    return fusion.externally_ranked(hits, given, ["vec_id"]).select("query_id", "vec_id", "rank", r6("external_score").alias("external_score"), "new_rank")
+
+
+@registry("""WITH w AS (SELECT video_id, arg_min(text_normalized, doc_id) AS t FROM documents WHERE source_type = 'metadata' AND text_normalized IS NOT NULL GROUP BY 1), f AS (SELECT DISTINCT query_vec_id, video_id, keyframe_id FROM fused_results)
+SELECT query_vec_id, f.video_id, keyframe_id, array_to_string(string_split(t, ' ')[1:8], ' ') AS keywords FROM f LEFT JOIN w USING (video_id)""")
+def enriched_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored results with eight keywords of their video; the words of its first metadata text stand for keywords."""
+    d = table(spark, sf, "documents").filter("source_type = 'metadata' AND text_normalized IS NOT NULL")
+    m = d.groupBy("video_id").agg(F.min_by("text_normalized", "doc_id").alias("t")).select("video_id", F.split("t", " ").alias("keywords"))
+    f = table(spark, sf, "fused_results").select("query_vec_id", "video_id", "keyframe_id").distinct()
+    return candidates.enriched(f, m).withColumn("keywords", F.array_join("keywords", " "))
+
+
+@registry("""WITH l AS (SELECT document_id, doc_id, ingested_at FROM documents WHERE document_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY ingested_at DESC NULLS LAST, doc_id DESC) = 1)
+SELECT document_id, doc_id, ingested_at FROM l ORDER BY ingested_at DESC NULLS LAST, document_id LIMIT 25""")
+def recent_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The 25 documents whose current state is the newest (a listing)."""
+    from vidsift.operators import submission
+
+    now = submission.latest(table(spark, sf, "documents").filter("document_id IS NOT NULL"), ["document_id"], ["ingested_at", "doc_id"])
+    return now.select("document_id", "doc_id", "ingested_at").orderBy(F.col("ingested_at").desc_nulls_last(), "document_id").limit(25)
+
+
+@registry(_FRAMES.replace("WITH v AS", "WITH RECURSIVE v AS", 1) + """, k AS (SELECT video_id, keyframe_id, min(pts_time) AS t FROM keyframes WHERE pts_time IS NOT NULL GROUP BY ALL), m AS (SELECT query_id, video_id, keyframe_id, max(score) AS score FROM s JOIN k USING (video_id, keyframe_id) WHERE query_id IN (SELECT DISTINCT query_id FROM hits WHERE rank <= 2) GROUP BY ALL),
+sd AS (SELECT DISTINCT h.query_id, h.video_id, k.t FROM hits h JOIN k USING (video_id, keyframe_id) WHERE rank <= 2), c AS (SELECT DISTINCT sd.query_id, k.video_id, k.keyframe_id, k.t FROM sd JOIN k USING (video_id) WHERE abs(k.t - sd.t) <= 20),
+r0 AS (SELECT c.query_id, c.video_id, c.keyframe_id, c.t, m.score, row_number() OVER (PARTITION BY c.query_id, c.video_id ORDER BY round(m.score, 9) DESC, c.keyframe_id) AS rank FROM c JOIN m USING (query_id, video_id, keyframe_id)),
+g AS (SELECT query_id, video_id, 0::BIGINT AS rank, []::DOUBLE[] AS taken FROM r0 GROUP BY ALL
+  UNION ALL SELECT g.query_id, g.video_id, r0.rank, CASE WHEN len(taken) < 5 AND len(list_filter(taken, lambda x: abs(x - t) < 2)) = 0 THEN list_append(taken, t) ELSE taken END FROM g JOIN r0 ON r0.query_id = g.query_id AND r0.video_id = g.video_id AND r0.rank = g.rank + 1),
+e AS (SELECT query_id, video_id, rank, len(taken) AS n FROM g), o AS (SELECT query_id, video_id, rank, n > lag(n) OVER (PARTITION BY query_id, video_id ORDER BY rank) AS ok FROM e)
+SELECT query_id, video_id, keyframe_id, rank, ok AS is_spaced, row_number() OVER (PARTITION BY query_id, video_id ORDER BY ok DESC, rank) AS spaced_rank FROM r0 JOIN o USING (query_id, video_id, rank) QUALIFY spaced_rank <= 5""")
+def spaced_localisation(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames near the two best hits of each query, five of a video that lie two seconds apart."""
+    k = table(spark, sf, "keyframes").filter("pts_time IS NOT NULL").groupBy("video_id", "keyframe_id").agg(F.min("pts_time").alias("t"))
+    f = table(spark, sf, "clip_features").filter(usable(F.col("clip_feature"), 128))
+    seeds = frame_hits(spark, sf, 2).join(k, ["video_id", "keyframe_id"])
+    frames = f.join(k, ["video_id", "keyframe_id"]).select("video_id", "keyframe_id", "t", F.col("clip_feature").alias("vector"))
+    queries = f.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("clip_feature").alias("query_vector"))
+    out = localise.localised_spaced(seeds, frames, queries, 20.0, 2.0, 5)
+    return out.select("query_id", "video_id", "keyframe_id", "rank", "is_spaced", "spaced_rank")
