@@ -7,6 +7,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +20,11 @@ QUERY_BLOCK = 4_096
 
 def _matrix(lists: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit rows and which rows are usable; others are zero."""
-    out, ok = np.zeros((len(lists), dims)), np.zeros(len(lists), dtype=bool)
-    for i, v in enumerate(lists.to_numpy(zero_copy_only=False)):
-        if v is not None and len(v) == dims:
-            out[i] = v
-            ok[i] = bool(np.isfinite(out[i]).all() and out[i].any())
+    fits = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False) == dims
+    out = np.zeros((len(lists), dims))
+    # a null within a vector becomes NaN
+    out[fits] = lists.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+    ok = fits & np.isfinite(out).all(axis=1) & out.any(axis=1)
     out[~ok] = 0.0
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300), ok
 
@@ -33,42 +34,60 @@ def _search(block, k: int, dims: int):
         ids, q = block.value
         for batch in batches:
             x, ok = _matrix(batch.column(1), dims)
-            pos = batch.column(0).to_numpy(zero_copy_only=False)
+            rest = [i for i in range(batch.num_columns) if i != 1]
             for a in range(0, len(ids), 512):
                 s = np.where(ok[None, :], q[a : a + 512] @ x.T, -np.inf)
                 if s.shape[1] > k:
                     # ties at the border go on too, the final rank decides between them
-                    cut = np.partition(np.round(s, 9), -k, axis=1)[:, -k]
-                    rows, cols = np.nonzero((np.round(s, 9) >= cut[:, None]) & np.isfinite(s))
+                    shown = np.round(s, 9)
+                    cut = np.partition(shown, -k, axis=1)[:, -k]
+                    rows, cols = np.nonzero((shown >= cut[:, None]) & np.isfinite(s))
                 else:
                     rows, cols = np.nonzero(np.isfinite(s))
                 if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 512][rows]), pa.array(pos[cols]), pa.array(s[rows, cols])], ["q", "i", "s"])
+                    at = pa.array(cols)
+                    own = [batch.column(i).take(at) for i in rest]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 512][rows]), *own, pa.array(s[rows, cols])], ["q", *[batch.schema.names[i] for i in rest], "s"])
 
     return run
 
 
+def _blocks(queries: DataFrame, key: str, vector: str, dims: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit rows of the usable queries, QUERY_BLOCK at a time: one small result, or, where there are more, a stream of rows."""
+    q = queries.select(F.col(key).cast("long").alias("q"), F.col(vector).alias("v"))
+    few = q.limit(QUERY_BLOCK + 1).toArrow()
+    if few.num_rows <= QUERY_BLOCK:
+        if few.num_rows:
+            lists = few["v"].combine_chunks()
+            unit, ok = _matrix(lists, dims)
+            yield few["q"].to_numpy()[ok], unit[ok]
+        return
+    rows = q.toLocalIterator()
+    while block := list(islice(rows, QUERY_BLOCK)):
+        unit, ok = _matrix(pa.array([r["v"] for r in block], pa.list_(pa.float64())), dims)
+        yield np.array([r["q"] for r in block])[ok], unit[ok]
+
+
 def cosine_topk(index: DataFrame, queries: DataFrame, *, key: str, vector: str, query_key: str, query_vector: str, k: int, dims: int, carry: Sequence[str] = ()) -> DataFrame:
-    """query_id, `key`, carried columns, score, rank (from 1): the k index rows with the highest cosine for each query.
+    """query_id, `key`, score, rank (from 1), carried columns: the k index rows with the highest cosine for each query.
 
     Rows and queries that are null, of another length, not finite or zero are left out. Ties: the smaller key. The
     queries pass in blocks of QUERY_BLOCK over all rows: one matrix product per Arrow batch, of which only each
-    query's best k leave the task, so the exchange carries queries times k times tasks small rows, never vectors.
+    query's best k leave the task, with the columns they carry; so the exchange carries queries times k times tasks
+    small rows, never vectors, and the index is read once a block.
     """
     spark = index.sparkSession
-    rows = queries.select(F.col(query_key).cast("long").alias("q"), F.col(query_vector).alias("v")).toLocalIterator()
-    slim = index.select(F.col(key).cast("long").alias("i"), F.col(vector).alias("v"))
+    slim = index.select(F.col(key).cast("long").alias("i"), F.col(vector).alias("v"), *[F.col(c).alias(f"c{n}") for n, c in enumerate(carry)])
+    ddl = ", ".join(["q long", "i long", *[f"c{n} {index.schema[c].dataType.simpleString()}" for n, c in enumerate(carry)], "s double"])
     out = None
-    while block := list(islice(rows, QUERY_BLOCK)):
-        q, ok = _matrix(pa.array([r["v"] for r in block], pa.list_(pa.float64())), dims)
-        sent = spark.sparkContext.broadcast((np.array([r["q"] for r in block])[ok], q[ok]))
-        one = slim.mapInArrow(_search(sent, k, dims), "q long, i long, s double")
+    for block in _blocks(queries, query_key, query_vector, dims):
+        sent = spark.sparkContext.broadcast(block)
+        one = slim.mapInArrow(_search(sent, k, dims), ddl)
         out = one if out is None else out.unionByName(one)
     if out is None:
-        out = spark.createDataFrame([], "q long, i long, s double")
+        out = spark.createDataFrame([], ddl)
     hits = rank_by(out, ["q"], [by_score("s"), F.col("i")], "rank", k)
-    hits = hits.select(F.col("q").alias("query_id"), F.col("i").alias(key), F.col("s").alias("score"), "rank")
-    return hits.join(index.select(F.col(key), *carry), key) if carry else hits
+    return hits.select(F.col("q").alias("query_id"), F.col("i").alias(key), F.col("s").alias("score"), "rank", *[F.col(f"c{n}").alias(c) for n, c in enumerate(carry)])
 
 
 def _best(block, dims: int):
@@ -98,12 +117,10 @@ def _best(block, dims: int):
 def best_per_video(index: DataFrame, queries: DataFrame, *, key: str, vector: str, video: str, query_key: str, query_vector: str, dims: int) -> DataFrame:
     """query_id, `video`, `key`, score: the best row of each video for each query (ties: the smaller key), over all rows."""
     spark = index.sparkSession
-    rows = queries.select(F.col(query_key).cast("long").alias("q"), F.col(query_vector).alias("v")).toLocalIterator()
     slim = index.select(F.col(key).cast("long").alias("i"), F.col(vector).alias("v"), F.col(video).alias("g"))
     out = spark.createDataFrame([], "q long, g string, i long, s double")
-    while block := list(islice(rows, QUERY_BLOCK)):
-        q, ok = _matrix(pa.array([r["v"] for r in block], pa.list_(pa.float64())), dims)
-        sent = spark.sparkContext.broadcast((np.array([r["q"] for r in block])[ok], q[ok]))
+    for block in _blocks(queries, query_key, query_vector, dims):
+        sent = spark.sparkContext.broadcast(block)
         out = out.unionByName(slim.mapInArrow(_best(sent, dims), "q long, g string, i long, s double"))
     best = out.groupBy("q", "g").agg(F.max(F.struct("s", (-F.col("i")).alias("neg"))).alias("b"))
     return best.select(F.col("q").alias("query_id"), F.col("g").alias(video), (-F.col("b.neg")).alias(key), F.col("b.s").alias("score"))
