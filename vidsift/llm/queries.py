@@ -154,13 +154,13 @@ keyed AS (SELECT *, regexp_replace(replace(strip_accents(lower(t)), 'đ', 'd'),
 pairs AS (SELECT *, lag(k) OVER w AS b, row_number() OVER w AS n FROM keyed WINDOW w AS (PARTITION BY video_id ORDER BY pts_time NULLS LAST, keyframe_id)),
 marked AS (SELECT *, CASE WHEN b IS NULL OR levenshtein(k, b) * 1000 > 150 * greatest(length(k), length(b)) THEN 1 ELSE 0 END AS fresh FROM pairs),
 runs AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id ORDER BY n) AS run FROM marked),
-ends AS (SELECT video_id, run, arg_min(ocr_id, n) AS first_ocr_id, arg_max(ocr_id, n) AS last_ocr_id, count(*) AS n_events FROM runs GROUP BY ALL)
+ends AS (SELECT video_id, run, arg_min(ocr_id, n) AS first_ocr_id, arg_max(ocr_id, n) AS last_ocr_id, count(*) AS n_events, min_by({'t': pts_time}, n).t AS first_time, max_by({'t': pts_time}, n).t AS last_time FROM runs GROUP BY ALL)
 """
 
 
-def _passages(key: str, column: str, source: str) -> str:
+def _passages(key: str, column: str, source: str, once: bool = True) -> str:
     words = f"string_split({visual_forms.folded_sql(visual_forms.form_sql(column, other_scripts=False))}, ' ')"
-    return f"""(SELECT DISTINCT {key}, array_to_string(w[i:i + 9], ' ') AS p FROM (
+    return f"""(SELECT {'DISTINCT' if once else ''} {key}, array_to_string(w[i:i + 9], ' ') AS p FROM (
   SELECT {key}, w, unnest(generate_series(1, len(w) - 9)) AS i FROM (SELECT {key}, {words} AS w FROM {source} WHERE {column} IS NOT NULL) WHERE len(w) >= 10))"""
 
 
@@ -173,6 +173,8 @@ s AS (SELECT class_id, count(DISTINCT text) AS spellings FROM n GROUP BY 1)
 SELECT doc_id, class_id, spellings, documents - same AS links FROM n JOIN s USING (class_id) WHERE spellings > 1""",
         "p3_found": _P3 + "SELECT video_id, first_ocr_id, last_ocr_id FROM ends WHERE n_events >= 2",
         "p7_found": f"SELECT DISTINCT doc_id, item_id FROM {_passages('doc_id', 'text', 'documents')} JOIN {_passages('item_id', 'query_text', 'eval_items')} USING (p)",
+        "p3_events": _P3 + "SELECT video_id, first_ocr_id AS first_id, last_ocr_id AS last_id, n_events, first_time, last_time, round(last_time - first_time, 6) AS duration_seconds FROM ends",
+        "p7_leaks": f"SELECT doc_id, item_id, count(*) AS windows FROM {_passages('doc_id', 'text', 'documents', once=False)} JOIN {_passages('item_id', 'query_text', 'eval_items')} USING (p) GROUP BY ALL",
         "p4_found": _P4 + "SELECT source_kind, record_id, keyframe_id FROM near WHERE k = 1",
         "p4_mapping": _P4 + "SELECT source_kind, record_id, keyframe_id, pts_time, round(d, 6) AS distance_seconds FROM near WHERE k = 1",
         "p5_found": _P5 + "SELECT detection_id FROM ranked WHERE result_rank <= 5",
