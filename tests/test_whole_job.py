@@ -84,7 +84,7 @@ def plain(text, fold):
 def test_every_text_is_normalised(spark, tmp_path):
     rows = list(enumerate(TEXTS))
     pd.DataFrame(rows, columns=["doc_id", "text"]).to_parquet(tmp_path / "documents.parquet", index=False)
-    got = {r.doc_id: r.normalized for r in catalog.queries()["normalized_texts_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.normalized for r in catalog.queries()["normalized_texts"](spark, str(tmp_path)).collect()}
     assert got == {i: plain(t, False) for i, t in rows if t is not None}
     assert got[0] == "đường về nhà ở cần thơ" and got[2] == "привет ёлка" and got[5] == "strasse ss fin"
 
@@ -92,14 +92,14 @@ def test_every_text_is_normalised(spark, tmp_path):
 def test_every_speech_text_is_folded(spark, tmp_path):
     rows = list(enumerate(TEXTS))
     pd.DataFrame(rows, columns=["asr_id", "text_raw"]).to_parquet(tmp_path / "asr.parquet", index=False)
-    got = {r.asr_id: r.folded for r in catalog.queries()["folded_texts_all"](spark, str(tmp_path)).collect()}
+    got = {r.asr_id: r.folded for r in catalog.queries()["folded_texts"](spark, str(tmp_path)).collect()}
     assert got == {i: plain(t, True) for i, t in rows if t is not None}
     assert got[0] == "duong ve nha o can tho" and got[1] == "nguoi uoc mo tuoi dep"
 
 
 def test_the_sample_is_rows(spark, tmp_path):
     rows = [(i, ("view", "click")[i % 3 == 0], float(i)) for i in range(6000)]
-    sample = lambda some: (write(tmp_path, "events", some, event_id="int64", event_type="str", value="float64"), catalog.queries()["stratified_sample_rows"](spark, str(tmp_path)).collect())[1]
+    sample = lambda some: (write(tmp_path, "events", some, event_id="int64", event_type="str", value="float64"), catalog.queries()["stratified_sample"](spark, str(tmp_path)).collect())[1]
     got = sample(rows)
     assert {tuple(r) for r in got} <= set(rows) and len({r.event_id for r in got}) == len(got)
     for kind, n in (("view", 4000), ("click", 2000)):
@@ -112,7 +112,7 @@ def test_the_sample_is_rows(spark, tmp_path):
 def test_estimates_are_close(spark, tmp_path):
     rows = [(b, float((i * 7919) % n)) for b, n in (("A", 40), ("B", 900)) for i in range(3000)]
     write(tmp_path, "part", rows, p_brand="str", p_retailprice="float64")
-    got = {r.p_brand: r for r in catalog.queries()["approximate_count_estimates"](spark, str(tmp_path)).collect()}
+    got = {r.p_brand: r for r in catalog.queries()["approximate_counts"](spark, str(tmp_path)).collect()}
     for b, n in (("A", 40), ("B", 900)):
         prices = sorted(x for k, x in rows if k == b)
         assert abs(got[b].prices - n) <= 0.15 * n + 1 and prices[1200] <= got[b].median <= prices[1800]

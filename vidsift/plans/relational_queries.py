@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -153,34 +154,18 @@ def ocr_polygons(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("ocr_id", clip(0, 0).alias("x1"), clip(0, 1).alias("y1"), clip(2, 0).alias("x2"), clip(2, 1).alias("y2"))
 
 
-@registry("""SELECT p_brand, CASE WHEN count(*) > 0 THEN true END AS close FROM part GROUP BY 1""")
-def approximate_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Sketches against exact figures: true where the distinct estimate lies within 15 % and the median within the ranks 40 to 60 %."""
-    p = table(spark, sf, "part")
-    a = p.groupBy("p_brand").agg(F.approx_count_distinct("p_retailprice").alias("a"), F.countDistinct("p_retailprice").alias("e"), F.percentile_approx("p_retailprice", 0.5, 10000).alias("m"), F.percentile("p_retailprice", F.array(F.lit(0.4), F.lit(0.6))).alias("b"))
-    ok = (F.abs(F.col("a") - F.col("e")) <= 0.15 * F.col("e") + 1) & (F.col("m") >= F.col("b")[0] - 1e-9) & (F.col("m") <= F.col("b")[1] + 1e-9)
-    return a.select("p_brand", F.when(ok | (F.col("e") < 5), True).alias("close"))
-
-
 @registry()
-def approximate_count_estimates(spark: SparkSession, sf: str) -> DataFrame:
-    """The estimates themselves: distinct prices and the median price of each brand; tested against exact figures."""
+def approximate_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Estimates by sketches: distinct prices and the median price of each brand; tested against exact figures."""
     p = table(spark, sf, "part")
     return p.groupBy("p_brand").agg(F.approx_count_distinct("p_retailprice").alias("prices"), F.percentile_approx("p_retailprice", 0.5, 10000).alias("median"))
 
 
-@registry("SELECT event_type, CASE WHEN count(*) > 0 THEN true END AS in_range FROM events GROUP BY 1")
+@registry("SELECT * FROM events WHERE ('0x' || substring(md5(event_id::VARCHAR), 1, 8))::BIGINT % 10 = 0")
 def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
     """A sampling operator: a tenth of each event type by a hash of the id, so a row is in or out for good."""
-    e = table(spark, sf, "events").withColumn("in", F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0)
-    share = F.count_if("in") / F.count(F.lit(1))
-    return e.groupBy("event_type").agg(F.when(F.abs(share - 0.1) < 0.05, True).alias("in_range"))
-
-
-@registry()
-def stratified_sample_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """The rows of that sample; a hash has no form in SQL, tested on a fixture."""
-    return table(spark, sf, "events").filter(F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0)
+    number = F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 8), 16, 10).cast("long")
+    return table(spark, sf, "events").filter(number % 10 == 0)
 
 
 @registry("""WITH RECURSIVE c AS (SELECT n_nationkey AS nation, n_regionkey AS step, 1 AS depth FROM nation UNION ALL SELECT nation, step + 5, depth + 1 FROM c WHERE depth < 4)
@@ -199,15 +184,15 @@ def grouped_udf(spark: SparkSession, sf: str) -> DataFrame:
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for label, rows in b.groupby("label"):
-                m = [[float(x) for x in v] for v in rows["embedding"]]
-                yield pd.DataFrame({"label": [label], "n": [len(m)], "s": [[sum(c) for c in zip(*m)]]})
+                m = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+                yield pd.DataFrame({"label": [label], "n": [len(m)], "s": [m.sum(axis=0).tolist()]})
 
     p = e.mapInPandas(partial, "label int, n long, s array<double>").select("label", "n", F.posexplode("s").alias("i", "x"))
     mean = p.groupBy("label", "i").agg((F.sum("x") / F.sum("n")).alias("x"))
     return mean.groupBy("label").agg(F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 6).alias("spread"))
 
 
-@registry("""SELECT ocr_id, unnest(string_split(trim(text_folded), ' ')) AS word, generate_subscripts(string_split(trim(text_folded), ' '), 1)::INTEGER AS position FROM ocr WHERE trim(text_folded) <> '' AND confidence >= 0.9""")
+@registry("""SELECT ocr_id, unnest(string_split(trim(text_folded), ' ')) AS word, generate_subscripts(string_split(trim(text_folded), ' '), 1)::INTEGER AS position FROM ocr WHERE trim(text_folded) <> ''""")
 def word_udtf(spark: SparkSession, sf: str) -> DataFrame:
     """A Python table function over a lateral join: words with their positions."""
     from pyspark.sql.functions import udtf
@@ -219,7 +204,7 @@ def word_udtf(spark: SparkSession, sf: str) -> DataFrame:
                 yield w, i
 
     spark.udtf.register("vidsift_words", Words)
-    table(spark, sf, "ocr").filter("trim(text_folded) <> '' AND confidence >= 0.9").createOrReplaceTempView("vidsift_ocr")
+    table(spark, sf, "ocr").filter("trim(text_folded) <> ''").createOrReplaceTempView("vidsift_ocr")
     return spark.sql("SELECT o.ocr_id, w.word, w.position FROM vidsift_ocr o, LATERAL vidsift_words(trim(o.text_folded)) w")
 
 

@@ -132,28 +132,22 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.postings(table(spark, sf, "documents"), "doc_id", {"text": "text"}).select("doc_id", "term", "tf", "dl")
 
 
-@registry("""SELECT doc_id, trim(regexp_replace(lower(nfc_normalize(text)), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS normalized FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[ẞßςΣİ\\p{M}²³¹¼½¾ºª]|[^\\x00-\\x{24F}\\x{1E00}-\\x{1EFF}]')""")
-def normalized_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """The exact normaliser (full case folding, composed) against SQL where both are defined alike: Latin letters without special folding."""
-    d = table(spark, sf, "documents").filter(F.col("text").isNotNull() & ~F.col("text").rlike(r"[ẞßςΣİ\p{M}²³¹¼½¾ºª]|[^\x00-\x{24F}\x{1E00}-\x{1EFF}]"))
-    return d.select("doc_id", T.normalize_exact(F.col("text")).alias("normalized"))
+def _casefolded(column: str) -> str:
+    """Full case folding of what the texts hold: lower case, and letters that fold to others."""
+    for a, b in {"ß": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "µ": "μ", "ſ": "s", "ς": "σ"}.items():
+        column = f"replace({column}, '{a}', '{b}')"
+    return column
 
 
-@registry()
-def normalized_texts_all(spark: SparkSession, sf: str) -> DataFrame:
-    """The exact normaliser over every text, also where SQL folds and composes otherwise; tested on a fixture against a plain loop."""
+@registry(f"SELECT doc_id, trim(regexp_replace({_casefolded('lower(nfc_normalize(text))')}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS normalized FROM documents WHERE text IS NOT NULL")
+def normalized_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact normaliser over every text; also tested on a fixture against a plain loop."""
     d = table(spark, sf, "documents").filter(F.col("text").isNotNull())
     return d.select("doc_id", T.normalize_exact(F.col("text")).alias("normalized"))
 
 
-@registry("""SELECT asr_id, trim(regexp_replace(replace(strip_accents(lower(text_raw)), 'đ', 'd'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS folded FROM asr WHERE text_raw IS NOT NULL AND NOT regexp_matches(text_raw, '[^\\x00-\\x7FÀ-ỹ]|[\\p{M}²³¹¼½¾ºªßÆØÐÞæøðþŁłƠơƯư‰]')""")
+@registry("SELECT asr_id, trim(regexp_replace(replace(strip_accents(replace(lower(text_raw), 'ß', 'ss')), 'đ', 'd'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS folded FROM asr WHERE text_raw IS NOT NULL")
 def folded_texts(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "asr").filter(F.col("text_raw").isNotNull() & ~F.col("text_raw").rlike(r"[^\x00-\x7FÀ-ỹ]|[\p{M}²³¹¼½¾ºªßÆØÐÞæøðþŁłƠơƯư‰]"))
-    return d.select("asr_id", T.fold_exact(F.col("text_raw")).alias("folded"))
-
-
-@registry()
-def folded_texts_all(spark: SparkSession, sf: str) -> DataFrame:
     """fold_exact over every speech text; tested on a fixture against a plain loop."""
     d = table(spark, sf, "asr").filter(F.col("text_raw").isNotNull())
     return d.select("asr_id", T.fold_exact(F.col("text_raw")).alias("folded"))
